@@ -53,9 +53,8 @@ def squeeze(c: Column) -> Column:
 
 def norm_title(title: Column) -> Column:
     """Lower case, without bracketed remarks and level words; letters, digits, `+ # .` kept."""
-    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\([^\n]*?\)", " ")
-    t = F.regexp_replace(t, whole_words(LEVEL_WORDS), " ")
-    return squeeze(F.regexp_replace(t, rf"[^{WORD}+#.]+", " "))
+    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), rf"\([^\n]*?\)|{whole_words(LEVEL_WORDS)}", " ")
+    return F.trim(F.regexp_replace(t, rf"[^{WORD}+#.]+", " "))
 
 
 def norm_company(company: Column) -> Column:

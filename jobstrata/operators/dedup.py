@@ -92,18 +92,18 @@ def assign_clusters(identified: DataFrame, gap_days: int = 30) -> DataFrame:
             .join(seg.select(*IDENTITY, "bucket", "cluster_start", "_group_pos"), [*IDENTITY, "bucket"]).drop("bucket"))
 
 
-def _mode_of(column: str, domain, skip: str | None, once: Column):
-    """Counts per allowed value in one pass (no explode); the most frequent wins, ties go to the first seen."""
-    measures, options = [], []
-    for i, v in enumerate(domain):
-        if v == skip:
-            continue
-        is_v = once & (F.col(column) == F.lit(v))
-        n, at = f"_{column}_n{i}", f"_{column}_p{i}"
-        measures += [(n, F.count_if(is_v), F.sum), (at, F.min(F.when(is_v, F.col("_at"))), F.min)]
-        options.append(F.when(F.col(n) > 0, F.struct((-F.col(n)).alias("n"), F.col(at).alias("at"), F.lit(v).alias("v"))))
-    best = F.array_min(F.filter(F.array(*options), lambda o: o.isNotNull()))["v"]
-    return measures, F.coalesce(best, F.lit(skip)) if skip is not None else best
+def _mode_in(facets: Column, name: str, skip: str | None) -> Column:
+    """Mode of one attribute over (n, at, f) entries: the most frequent wins, ties go to the first seen."""
+    kept = F.filter(facets, lambda x: x["f"][name] != F.lit(skip)) if skip is not None else facets
+    values = F.array_distinct(F.transform(kept, lambda x: x["f"][name]))
+
+    def option(v: Column) -> Column:
+        mine = F.filter(kept, lambda x: x["f"][name] == v)
+        n = F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+        return F.struct((-n).alias("n"), F.array_min(F.transform(mine, lambda x: x["at"])).alias("at"), v.alias("v"))
+
+    best = F.when(F.size(facets) == 1, F.element_at(facets, 1)["f"][name]).otherwise(F.array_min(F.transform(values, option))["v"])
+    return F.coalesce(best, F.lit(skip)) if skip is not None else best
 
 
 def ranked_values(df: DataFrame, group: list[str], value: Column, order: Column) -> DataFrame:
@@ -123,32 +123,32 @@ def unique_postings(mentions: DataFrame, gap_days: int = 30, impute_days: int =
                     skills: bool = True) -> DataFrame:
     """One row per unique posting; `ord` is the order in which the postings are listed.
 
-    Everything is aggregated per (identity, gap-wide bucket[, skill]) in one pass with map-side combine; cluster
-    borders are then found among those few rows, whose partitioning by identity the final aggregates reuse."""
+    Everything is aggregated in one pass with map-side combine, per (identity, gap-wide bucket, fact), where a fact is
+    the mention's combination of enumerated attributes or one of its skills. Cluster borders are then found among those
+    few rows, and the final aggregates reuse their partitioning by identity."""
     rows = impute_company(mentions, impute_days, impute)
     gap_us = gap_days * dates.DAY_US
-    rows = rows.withColumn("_at", F.struct("_us", "pos")).withColumn("bucket", bucket_of(F.col("_us"), gap_us))
-    grain = [*IDENTITY, "bucket"]
+    rows = (rows.withColumn("_at", F.struct("_us", "pos")).withColumn("bucket", bucket_of(F.col("_us"), gap_us))
+            .withColumn("_f", F.struct("direction", "level", "work_format", "is_it")))
     if skills:
-        rows = rows.select("*", F.posexplode_outer(text.split_list(F.col("skills"))).alias("_i", "_skill"))
-        grain.append("_skill")
-        once = F.coalesce(F.col("_i"), F.lit(0)) == 0     # the row standing for the mention itself
+        itself = F.array(F.struct(F.lit(0).alias("i"), F.col("_f").alias("f"), F.lit(None).cast("string").alias("s")))
+        named = F.transform(text.split_list(F.col("skills")), lambda s, i: F.struct((i + 1).alias("i"), F.lit(None).cast(rows.schema["_f"].dataType).alias("f"), s.alias("s")))
+        rows = rows.withColumn("_fact", F.explode(F.concat(itself, named)))
+        rows = rows.select("*", F.col("_fact.i").alias("_i"), F.col("_fact.s").alias("_skill")).withColumn("_f", F.col("_fact.f")).drop("_fact")
     else:
-        once = F.lit(True)
-    modes = {c: _mode_of(c, d, s, once) for c, d, s in (("direction", DIRECTIONS, "unspecified"), ("level", LEVELS, "unspecified"),
-                                                        ("work_format", FORMATS, "unspecified"), ("is_it", (True, False), None))}
-    first = F.min(F.struct("_at", "title", "channel", "company_source"))
+        rows = rows.withColumn("_i", F.lit(0)).withColumn("_skill", F.lit(None).cast("string"))
+    itself = F.col("_i") == 0
     union_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    measures = [  # name, aggregate over mentions, how partial results merge
-        ("_lo", F.min("_us"), F.min), ("_hi", F.max("_us"), F.max), ("_first", first, F.min), ("_first_ts", F.min("ts"), F.min),
-        ("_last_ts", F.max("ts"), F.max), ("mentions", F.count_if(once), F.sum), ("_channels", F.collect_set("channel"), union_of),
+    measures = [  # name, aggregate over the facts of mentions, how partial results merge
+        ("_lo", F.min("_us"), F.min), ("_hi", F.max("_us"), F.max), ("_first_pos", F.min("pos"), F.min),
+        ("_first_ts", F.min("ts"), F.min), ("_last_ts", F.max("ts"), F.max), ("mentions", F.count_if(itself), F.sum),
+        ("_first", F.min(F.when(itself, F.struct("_at", "title", "channel", "company_source"))), F.min),
+        ("_channels", F.collect_set(F.when(itself, F.col("channel"))), union_of),
         ("_salary", F.max(F.coalesce(F.col("salary_stated"), F.lit(False))), F.max),
-        ("_any_stated", F.max(F.col("company_source") == "stated"), F.max), ("_first_pos", F.min("pos"), F.min),
-        ("_link", F.min(F.when(F.coalesce(F.col("link"), F.lit("")) != "", F.struct("_at", "link"))), F.min),
-        *[m for aggs, _ in modes.values() for m in aggs]]
-    if skills:
-        measures += [("_n", F.count(F.lit(1)), F.sum), ("_skill_at", F.min(F.struct("_at", "_i")), F.min)]
-    part = rows.groupBy(*grain).agg(*[agg.alias(name) for name, agg, _ in measures])
+        ("_any_stated", F.max(F.col("company_source") == "stated"), F.max),
+        ("_link", F.min(F.when(itself & (F.coalesce(F.col("link"), F.lit("")) != ""), F.struct("_at", "link"))), F.min)]
+    fact = [("_n", F.count(F.lit(1)), F.sum), ("_seen", F.min(F.struct("_at", "_i")), F.min)]
+    part = rows.groupBy(*IDENTITY, "bucket", "_f", "_skill").agg(*[agg.alias(name) for name, agg, _ in measures + fact])
 
     w = Window.partitionBy(*IDENTITY).orderBy("bucket")
     before = F.max("_hi").over(w.rangeBetween(Window.unboundedPreceding, -1))
@@ -157,20 +157,20 @@ def unique_postings(mentions: DataFrame, gap_days: int = 30, impute_days: int =
     part = (part.withColumn("cluster_start", F.max("_opens").over(w.rangeBetween(Window.unboundedPreceding, 0)))
             .withColumn("_group_pos", F.min("_first_pos").over(Window.partitionBy(*IDENTITY))))
     key = [*IDENTITY, "_group_pos", "cluster_start"]
-    merged = [merge(name).alias(name) for name, _, merge in measures]
-    if skills:
-        part = part.groupBy(*key, "_skill").agg(*merged)
-        kept = F.when(F.col("_skill").isNotNull(), F.struct((-F.col("_n")).alias("k"), "_skill_at", F.col("_skill").alias("v")))
-        merged = [*merged[:-2], F.array_sort(F.collect_list(kept))["v"].alias("skills")]
-    out = part.groupBy(*key).agg(*merged)
+    part = part.groupBy(*key, "_f", "_skill").agg(*[merge(name).alias(name) for name, _, merge in measures + fact])
+    facets = F.collect_list(F.when(F.col("_f").isNotNull(), F.struct(F.col("_n").alias("n"), F.col("_seen").alias("at"), F.col("_f").alias("f"))))
+    ranked = F.collect_list(F.when(F.col("_skill").isNotNull(), F.struct((-F.col("_n")).alias("k"), "_seen", F.col("_skill").alias("v"))))
+    out = part.groupBy(*key).agg(*[merge(name).alias(name) for name, _, merge in measures], facets.alias("_facets"),
+                                 *([F.array_sort(ranked)["v"].alias("skills")] if skills else []))
     return out.select(
         F.col("_first.title").alias("title"), F.col("_company").alias("company"),
         F.when(F.col("_any_stated"), "stated").otherwise(F.col("_first.company_source")).alias("company_source"),
         dates.day_text(F.col("_first_ts")).alias("first_seen"), dates.day_text(F.col("_last_ts")).alias("last_seen"),
         "mentions", F.array_sort("_channels").alias("channels"), F.col("_first.channel").alias("first_channel"),
-        *[best.alias(c) for c, (_, best) in modes.items()], F.col("_salary").alias("salary_stated"),
-        *(["skills"] if skills else []), F.coalesce("_link.link", F.lit("")).alias("link"),
-        F.struct("_group_pos", "cluster_start").alias("ord"), *IDENTITY, "cluster_start")
+        *[_mode_in(F.col("_facets"), c, skip).alias(c) for c, skip in
+          (("direction", "unspecified"), ("level", "unspecified"), ("work_format", "unspecified"), ("is_it", None))],
+        F.col("_salary").alias("salary_stated"), *(["skills"] if skills else []),
+        F.coalesce("_link.link", F.lit("")).alias("link"), F.struct("_group_pos", "cluster_start").alias("ord"), *IDENTITY, "cluster_start")
 
 
 def reclassify(uniques: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
+LARGE = ("orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings")
+
 KIND = "CASE p_size % 10 WHEN 3 THEN 'Graphic ' WHEN 5 THEN 'UX motion ' WHEN 7 THEN 'MEAL ' ELSE '' END"
 DIRECTION = ("CASE p_type WHEN 'ECONOMY' THEN 'analytics' WHEN 'SMALL' THEN 'design' WHEN 'MEDIUM' THEN 'marketing' "
              "WHEN 'PROMO' THEN 'qa' WHEN 'STANDARD' THEN 'dev' ELSE 'ai-ml' END")
@@ -151,7 +153,11 @@ FROM {conversations}""",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The table; one that is a single file with a single row group is spread over the cores it would leave idle."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in LARGE and len(df.inputFiles()) == 1:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
