@@ -33,3 +33,11 @@ def posting_id(url: Column) -> Column:
     labels = F.split(F.regexp_extract(n, r"^([^/?]*)", 1), r"\.")
     domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
     return F.when(number.isNotNull(), F.concat(domain, F.lit(":"), number))
+
+
+def identity(url: Column) -> Column:
+    """One key for "the same posting": its id when the url has one, else the bare url; null without a url.
+
+    The id is a function of the bare url, so "same id or same bare url" is equality of this key: one equi-join
+    instead of an OR of two."""
+    return F.when(F.coalesce(url, F.lit("")) != "", F.coalesce(posting_id(url), F.concat(F.lit("u:"), norm_url(url))))

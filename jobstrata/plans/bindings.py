@@ -85,7 +85,7 @@ FROM {{orders}} JOIN {{part}} ON o_custkey = p_partkey""",
     "shown_log": """
 SELECT CAST(CAST(l_shipdate AS DATE) AS STRING) AS shown_date,
        CASE WHEN l_linenumber = 1 THEN '(без прямого URL, board-a)'
-            ELSE 'https://www.jobs.example/vacancy' || CAST(l_orderkey AS STRING) || '?from=log' END AS identifier,
+            ELSE 'https://www.jobs.example/vacancy' || CAST(l_orderkey * 40 + l_linenumber AS STRING) || '?from=log' END AS identifier,
        p_name || ' — Supplier#' || lpad(CAST(l_suppkey AS STRING), 9, '0') AS label,
        l_orderkey AS log_order, l_linenumber AS log_line, l_partkey AS part_id, l_suppkey AS supp_id
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
