@@ -14,7 +14,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 LARGE = ("orders", "lineitem", "events", "documents", "pages", "conversations", "embeddings")
 
-KIND = "CASE p_size % 10 WHEN 3 THEN 'Graphic ' WHEN 5 THEN 'UX motion ' WHEN 7 THEN 'MEAL ' ELSE '' END"
+KIND = "CASE p_size % 10 WHEN 3 THEN 'Graphic ' WHEN 5 THEN 'UX motion ' WHEN 7 THEN 'MEAL ' WHEN 9 THEN 'Data analyst ' ELSE '' END"
 DIRECTION = ("CASE p_type WHEN 'ECONOMY' THEN 'analytics' WHEN 'SMALL' THEN 'design' WHEN 'MEDIUM' THEN 'marketing' "
              "WHEN 'PROMO' THEN 'qa' WHEN 'STANDARD' THEN 'dev' ELSE 'ai-ml' END")
 
