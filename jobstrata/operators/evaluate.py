@@ -1,13 +1,13 @@
 """A classifier against labelled data: sample, precision and recall, kappa, matching inside a post."""
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobstrata.functions.numbers import half_even, wilson
+from jobstrata.operators.matching import sequence_ratio
+from jobstrata.operators.scale import running_position
+from jobstrata.session import cut_lineage
 
 MATCH_RATIO = 0.6
 
@@ -52,17 +52,28 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def match_titles(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Greedy 1:1 matching of the titles inside one post: (key, gold_no, pred_no), null on the side without a pair.
 
-    A post holds a handful of postings; a group is never larger than one post. Ties take the larger gold, then the
-    larger prediction index."""
-    def one_post(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        key = (g if len(g) else p)["key"].iloc[0]
-        cands = sorted(((difflib.SequenceMatcher(None, a, b).ratio(), int(i), int(j)) for i, a in zip(g["no"], g["title_norm"])
-                        for j, b in zip(p["no"], p["title_norm"])), reverse=True)
-        used_g, used_p, out = set(), set(), []
-        for ratio, i, j in cands:
-            if ratio >= MATCH_RATIO and i not in used_g and j not in used_p:
-                used_g.add(i), used_p.add(j), out.append((key, i, j))
-        out += [(key, int(i), None) for i in g["no"] if int(i) not in used_g] + [(key, None, int(j)) for j in p["no"] if int(j) not in used_p]
-        return pd.DataFrame({"key": [o[0] for o in out], "gold_no": pd.array([o[1] for o in out], "Int64"), "pred_no": pd.array([o[2] for o in out], "Int64")})
-
-    return gold.groupBy("key").cogroup(pred.groupBy("key")).applyInPandas(one_post, "key string, gold_no long, pred_no long")
+    Inputs: key, no, title_norm. Pairs go by similarity, ties to the larger gold, then the larger prediction number.
+    Equal titles (similarity 1) are paired by rank. Of the rest, the pairs that are the best of both their titles are
+    exactly those a greedy pass takes next; they are removed and the rest is looked at again until none is left. No post
+    is ever gathered in one place."""
+    ranked = [running_position(d.withColumn("_pos", -F.col("no")), ["key", "title_norm"], "_pos", 1_000, "_k").select("key", "title_norm", "_k", F.col("no").alias(n))
+              for d, n in ((gold, "gold_no"), (pred, "pred_no"))]
+    equal = cut_lineage(ranked[0].join(ranked[1], ["key", "title_norm", "_k"]).select("key", "gold_no", "pred_no"))
+    g = ranked[0].join(equal, ["key", "gold_no"], "left_anti").select("key", "gold_no", F.col("title_norm").alias("a"))
+    p = ranked[1].join(equal, ["key", "pred_no"], "left_anti").select("key", "pred_no", F.col("title_norm").alias("b"))
+    la, lb = F.length("a"), F.length("b")
+    pairs = g.join(p, "key").where(2.0 * F.least(la, lb) >= MATCH_RATIO * (la + lb))     # more alike they cannot be
+    scored = pairs.select("a", "b").distinct().withColumn("r", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("r") >= MATCH_RATIO)
+    left = cut_lineage(pairs.join(scored, ["a", "b"]).select("key", "gold_no", "pred_no", "r"))
+    chosen = equal
+    while not left.isEmpty():
+        rank = F.struct("r", "gold_no", "pred_no")
+        of_gold = left.groupBy("key", "gold_no").agg(F.max(rank).alias("g"))
+        of_pred = left.groupBy("key", "pred_no").agg(F.max(rank).alias("p"))
+        taken = cut_lineage(of_gold.join(of_pred, (of_gold.key == of_pred.key) & (of_gold.g == of_pred.p)).select(of_gold.key, "gold_no", "pred_no"))
+        left = cut_lineage(left.join(taken.select("key", "gold_no"), ["key", "gold_no"], "left_anti").join(taken.select("key", "pred_no"), ["key", "pred_no"], "left_anti"))
+        chosen = chosen.unionByName(taken)
+    none = F.lit(None).cast("long")
+    missed = gold.select("key", F.col("no").alias("gold_no")).join(chosen, ["key", "gold_no"], "left_anti").withColumn("pred_no", none)
+    extra = pred.select("key", F.col("no").alias("pred_no")).join(chosen, ["key", "pred_no"], "left_anti").withColumn("gold_no", none)
+    return chosen.unionByName(missed).unionByName(extra)

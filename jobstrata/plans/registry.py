@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("q_market", "q_funnel", "q_matching", "q_monitor")
+_MODULES = ("q_market", "q_funnel", "q_matching", "q_monitor", "q_sources", "q_streaming")
 
 
 def query(name: str, sql: str | None = None):
