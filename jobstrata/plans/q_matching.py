@@ -167,3 +167,13 @@ def _(spark, sf):
        .replace("developer|engineer", "developer|engineer|backend|frontend").replace(" ELSE 'other'", r" WHEN regexp_matches(lower(text), 'project manager|product manager|\bpm\b|scrum') THEN 'pm' ELSE 'other'"))
 def _(spark, sf):
     return table(spark, sf, "documents").groupBy(text.guess_direction(F.col("text")).alias("direction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j21_site_postings")
+def _(spark, sf):
+    """Every card of one client carries the client's url here, so urls tie different companies together."""
+    from jobstrata.operators import board
+    d = logged(spark, sf).withColumn("status", funnel.log_status(F.col("result"), F.col("code"))).where(F.col("status").isNotNull())
+    d = d.withColumn("url", F.when(F.col("url").isNotNull(), F.concat(F.lit("https://site.example/vacancy"), F.col("client_id").cast("string"))))
+    u = board.unique_postings(d.withColumn("day", F.col("run_date")), F.col("card_id"))
+    return u.select("title", "company", "url", dates.day_text(F.col("first_day")).alias("first_day"), dates.day_text(F.col("day")).alias("day"), "status", "rows", "superseded")

@@ -22,11 +22,11 @@ def run_to_files(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 
 
 def staged_stream(parts: list[DataFrame], name: str) -> DataFrame:
-    """A file stream with one micro-batch per part, in the order given."""
+    """A file stream over the parts, written in the order given."""
     spark = parts[0].sparkSession
     root = scratch_path(spark, name)
     for i, p in enumerate(parts):
-        p.coalesce(1).write.parquet(f"{root}/{i:03d}") if i == len(parts) - 1 else p.write.parquet(f"{root}/{i:03d}")
+        p.write.parquet(f"{root}/{i:03d}")
     return spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 64).parquet(root)
 
 
