@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobstrata.functions.numbers import half_even, wilson
+from jobstrata.functions.text import norm_title, yes_no
 from jobstrata.operators.matching import sequence_ratio
 from jobstrata.operators.scale import running_position
 from jobstrata.session import cut_lineage
@@ -77,3 +78,55 @@ def match_titles(gold: DataFrame, pred: DataFrame) -> DataFrame:
     missed = gold.select("key", F.col("no").alias("gold_no")).join(chosen, ["key", "gold_no"], "left_anti").withColumn("pred_no", none)
     extra = pred.select("key", F.col("no").alias("pred_no")).join(chosen, ["key", "pred_no"], "left_anti").withColumn("gold_no", none)
     return chosen.unionByName(missed).unionByName(extra)
+
+
+FIELDS = (("is_it", "true_is_it"), ("direction", "true_direction"), ("level", "true_level"))
+
+
+def labelled_posts(posts: DataFrame) -> DataFrame:
+    """Posts whose true_is_vacancy says yes or no, with `truth`."""
+    return posts.withColumn("truth", yes_no(F.col("true_is_vacancy"))).where(F.col("truth").isNotNull())
+
+
+def truth_rows(rows: DataFrame, posts: DataFrame) -> DataFrame:
+    """Labelled vacancies of labelled posts: at least one truth field filled, invented ones ("none") left out."""
+    filled = F.lit(False)
+    for c in ("true_title", "true_is_it", "true_direction", "true_level"):
+        filled = filled | (F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
+    real = F.lower(F.trim(F.coalesce("true_direction", F.lit("")))) != "none"
+    return rows.where(filled & real).join(labelled_posts(posts).select("key").distinct(), "key", "left_semi")
+
+
+def score(posts: DataFrame, rows: DataFrame, pred_posts: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics with intervals, and every disagreement as a row.
+
+    `posts`: key, true_is_vacancy; `rows`: key, no, title_hint and the truth fields; `pred_posts`: keys predicted to hold
+    vacancies; `pred`: key, no, title, is_it, direction, level."""
+    said = pred_posts.select("key").distinct().withColumn("_pred", F.lit(True))
+    labelled = labelled_posts(posts)
+    counts = post_counts(labelled.join(said, "key", "left"), F.col("truth"), F.coalesce("_pred", F.lit(False)))
+    name = F.coalesce(F.nullif("true_title", F.lit("")), "title_hint")
+    gold = truth_rows(rows, posts)
+    mine = pred.join(labelled.select("key").distinct(), "key", "left_semi")
+    m = cut_lineage(match_titles(gold.select("key", "no", norm_title(name).alias("title_norm")), mine.select("key", "no", norm_title(F.col("title")).alias("title_norm"))))
+    full = (m.join(gold.select("key", F.col("no").alias("gold_no"), name.alias("gold_title"), *[t for _, t in FIELDS]), ["key", "gold_no"], "left")
+            .join(mine.select("key", F.col("no").alias("pred_no"), F.col("title").alias("pred_title"), *[F.lower(F.trim(F.col(f).cast("string"))).alias(f) for f, _ in FIELDS]), ["key", "pred_no"], "left"))
+    both = F.col("gold_no").isNotNull() & F.col("pred_no").isNotNull()
+    flag = lambda c: F.when(F.coalesce(yes_no(c), F.lit(False)), "y").otherwise("n")
+    cells = []
+    for f, t in FIELDS:
+        g, p = F.lower(F.trim(F.coalesce(F.col(t), F.lit("")))), F.col(f)
+        g, p = (F.when(g != "", flag(g)), flag(p)) if f == "is_it" else (F.nullif(g, F.lit("")), p)
+        cells.append(F.struct(F.lit(f).alias("field"), g.alias("gold"), p.alias("pred")))
+    compared = full.where(both).select("key", F.col("pred_title").alias("title"), F.explode(F.array(*cells)).alias("c")).select("key", "title", "c.*").where(F.col("gold").isNotNull())
+    found = full.agg(F.count_if(both).alias("v_tp"), F.count_if(F.col("pred_no").isNotNull()).alias("v_pred"), F.count_if(F.col("gold_no").isNotNull()).alias("v_gold"))
+    accuracy = compared.agg(*[F.count_if((F.col("field") == f) & cond).alias(f"{f}_{n}") for f, _ in FIELDS for n, cond in (("ok", F.col("gold") == F.col("pred")), ("n", F.lit(True)))])
+    one = lambda d: d.withColumn("_row", F.lit(1))  # noqa: E731 - three one-row tables side by side
+    wide = one(counts).join(one(found), "_row").join(one(accuracy), "_row")
+    metrics = metric_rows(wide, [("post_is_vacancy_precision", "tp", "predicted"), ("post_is_vacancy_recall", "tp", "actual"), ("vacancy_extraction_precision", "v_tp", "v_pred"),
+                                 ("vacancy_extraction_recall", "v_tp", "v_gold"), *[(f"{f}_accuracy", f"{f}_ok", f"{f}_n") for f, _ in FIELDS]])
+    wrong = compared.where(F.col("gold") != F.col("pred")).select("key", "title", "field", "gold", "pred")
+    alone = lambda cond, title, field, g, p: full.where(cond).select("key", F.col(title).alias("title"), F.lit(field).alias("field"), F.lit(g).alias("gold"), F.lit(p).alias("pred"))
+    errors = (wrong.unionByName(alone(F.col("pred_no").isNull(), "gold_title", "vacancy_missed", "є", "немає"))
+              .unionByName(alone(F.col("gold_no").isNull(), "pred_title", "vacancy_extra", "немає", "є")))
+    return metrics, errors

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobstrata.functions import dates, text
 from jobstrata.functions.numbers import budget_uah, competition_level
@@ -33,10 +32,10 @@ PERSONAL_CODES = ("роль", "досвід", "формат", "зп", "англ
 STRICT, WIDE = ("shown", "applied"), ("shown", "applied", "personal_reject")
 # ----------------------------------------------------------------------------------------------------------
 
-EVALUATION = T.StructType.fromDDL(
-    "raw_index int, passes_criteria boolean, reject_reason string, reject_code string, normalized_title string, normalized_company string, "
-    "match_level string, match_scores struct<skills:int,duties:int,expectations:int>, match_reasoning string, veteran_bonus boolean, "
-    "posted_date string, date_undetermined boolean, flags array<string>, near_miss boolean, near_miss_reason string")
+EVALUATION = (
+    "struct<raw_index:int,passes_criteria:boolean,reject_reason:string,reject_code:string,normalized_title:string,normalized_company:string,"
+    "match_level:string,match_scores:struct<skills:int,duties:int,expectations:int>,match_reasoning:string,veteran_bonus:boolean,"
+    "posted_date:string,date_undetermined:boolean,flags:array<string>,near_miss:boolean,near_miss_reason:string>")
 
 
 def _rx(pattern: str) -> str:
@@ -151,8 +150,8 @@ def parse_batches(batches: DataFrame) -> DataFrame:
 
     The answer is an object with `evaluations`, or a bare list; anything else gives nothing. Items that are not objects
     or point outside the batch are dropped; of two answers for one card the later wins."""
-    array = T.ArrayType(EVALUATION)
-    as_object = F.from_json("answer", T.StructType([T.StructField("evaluations", array)]))["evaluations"]
+    array = f"array<{EVALUATION}>"
+    as_object = F.from_json("answer", f"evaluations {array}")["evaluations"]
     items = F.when(F.col("answer").rlike(r"^\s*\["), F.from_json("answer", array)).otherwise(as_object)
     rows = batches.select("batch_id", "size", F.posexplode(items).alias("_at", "ev"))
     valid = rows.where(F.col("ev.raw_index").between(0, F.col("size") - 1))

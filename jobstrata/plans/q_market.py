@@ -94,7 +94,7 @@ for _name, _value in (("a3_f15_weekly_direction", "direction"), ("a3_f15_weekly_
         return market.shares(market.full_weeks(it, "first_seen"), dates.iso_week(F.col("first_seen")), F.col(value))
 
 
-for _name, _value in (("a3_direction_level_shares", "level"), ("a3_direction_format_shares", "work_format"), ("a3_direction_salary_shares", "salary_stated")):
+for _name, _value in (("a3_z3_direction_level_shares", "level"), ("a3_direction_format_shares", "work_format"), ("a3_direction_salary_shares", "salary_stated")):
     @query(_name, over_uniques(
         f"SELECT \"group\", value, {pct('cnt', 'n')} AS share_pct, n, n < 30 AS small_sample FROM (SELECT *, CAST(sum(cnt) OVER (PARTITION BY \"group\") AS BIGINT) AS n FROM ("
         f"SELECT direction AS \"group\", CAST({_value} AS STRING) AS value, count(*) AS cnt FROM uniq WHERE is_it GROUP BY ALL))"))

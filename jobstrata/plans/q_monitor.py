@@ -329,3 +329,36 @@ def _(spark, sf):
     model = F.when(F.col("model") == "vendor-haiku-1", "claude-haiku-1-20250101").when(F.col("model") == "vendor-Sonnet-2", "claude-sonnet-2-5").otherwise(F.col("model"))
     cell = F.when(F.col("call_id") % 3 == 0, F.concat(F.lit("="), "stage")).when(F.col("call_id") % 3 == 1, F.concat(F.lit("-"), F.col("call_id").cast("string"))).otherwise(F.col("stage"))
     return u.select("call_id", text.model_label(model).alias("label"), text.safe_cell(cell).alias("cell"), text.prompt_hash(cell).alias("hash"))
+
+
+@query("f21_labelled_rows", ctes("cards") + """SELECT card_id, mark IN ('F', 'O') AND priority <> '5-LOW' AND (level <> '' OR direction <> '') AND lower(direction) <> 'none' AS kept
+FROM (SELECT *, CASE WHEN price > 300000 THEN '' ELSE 'junior' END AS level, CASE WHEN price > 400000 THEN 'None' WHEN price > 350000 THEN '' ELSE 'qa' END AS direction FROM cards)""")
+def _(spark, sf):
+    c = view(spark, sf, "cards")
+    posts = c.select(F.col("card_id").cast("string").alias("key"), F.when((F.col("mark") == "F") & (F.col("priority") != "5-LOW"), " Y").when((F.col("mark") == "O") & (F.col("priority") != "5-LOW"), "ні").otherwise("?").alias("true_is_vacancy"))
+    rows = c.select(F.col("card_id").cast("string").alias("key"), "card_id", F.lit("").alias("true_title"), F.lit(" ").alias("true_is_it"),
+                    F.when(F.col("price") > 400000, "None").when(F.col("price") > 350000, "").otherwise("qa").alias("true_direction"), F.when(F.col("price") > 300000, "").otherwise("junior").alias("true_level"))
+    kept = evaluate.truth_rows(rows, posts).select("card_id", F.lit(True).alias("kept"))
+    return c.select("card_id").join(kept, "card_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+@query("q6_verify_and_repair", ctes("cards") + """SELECT 'лог показаних' AS name, true AS ok, count(*) FILTER (mark = 'P' AND price <= 100000) > 0 AS repaired FROM cards
+UNION ALL SELECT 'джерела', count(*) FILTER (source = 'board-a') = 0, false FROM cards""")
+def _(spark, sf):
+    """The shown log lacks lines and is repaired once; a missing source cannot be repaired."""
+    from jobstrata.operators import tables
+    from jobstrata.session import scratch_path
+    path = scratch_path(spark, "shown_log")
+    own = view(spark, sf, "cards").select("run_date", F.concat(F.col("card_id").cast("string"), F.lit(" | "), "title").alias("line"), "mark", "price", "source")
+    own.where("NOT (mark = 'P' AND price <= 100000)").select("run_date", "line").write.parquet(path)
+    rep = own.select("run_date").distinct().withColumn("repeat", F.lit(False))
+    read = lambda: spark.read.schema("run_date date, line string").parquet(path)
+
+    def repair():
+        missing = own.select("run_date", "line").join(read(), ["run_date", "line"], "left_anti")
+        tables.append_strict(missing, path, ["run_date", "line"])
+
+    registry = own.select("source").distinct()
+    missing = lambda: quality.check_sources(registry, own.where("source <> 'board-a'").select("source", F.lit("OK").alias("status"))).select(F.lit(False).alias("ok"), F.col("source").alias("reason"))
+    done = quality.verify_writes({"лог показаних": (lambda: quality.check_shown_log(read(), own.select("run_date", "line"), rep, "run_date"), repair), "джерела": (missing, None)})
+    return spark.createDataFrame([(r["name"], r["ok"], r["repaired"]) for r in done], "name string, ok boolean, repaired boolean")
