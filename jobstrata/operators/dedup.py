@@ -27,6 +27,9 @@ IDENTITY = ["_title", "_company", "_extra"]
 
 
 def with_keys(mentions: DataFrame) -> DataFrame:
+    """Normalised title and company and the time in microseconds; left alone when the mentions carry them already."""
+    if "_title" in mentions.columns:
+        return mentions
     company = text.norm_company(F.col("company"))
     return (mentions.withColumn("_title", text.norm_title(F.col("title")))
             .withColumn("_stated", F.nullif(company, F.lit("")))
@@ -157,7 +160,8 @@ def unique_postings(mentions: DataFrame, gap_days: int = 30, impute_days: int =
     part = (part.withColumn("cluster_start", F.max("_opens").over(w.rangeBetween(Window.unboundedPreceding, 0)))
             .withColumn("_group_pos", F.min("_first_pos").over(Window.partitionBy(*IDENTITY))))
     key = [*IDENTITY, "_group_pos", "cluster_start"]
-    part = part.groupBy(*key, "_f", "_skill").agg(*[merge(name).alias(name) for name, _, merge in measures + fact])
+    if skills:      # a skill's uses are added up over the buckets of its cluster; modes add up their entries themselves
+        part = part.groupBy(*key, "_f", "_skill").agg(*[merge(name).alias(name) for name, _, merge in measures + fact])
     facets = F.collect_list(F.when(F.col("_f").isNotNull(), F.struct(F.col("_n").alias("n"), F.col("_seen").alias("at"), F.col("_f").alias("f"))))
     ranked = F.collect_list(F.when(F.col("_skill").isNotNull(), F.struct((-F.col("_n")).alias("k"), "_seen", F.col("_skill").alias("v"))))
     out = part.groupBy(*key).agg(*[merge(name).alias(name) for name, _, merge in measures], facets.alias("_facets"),

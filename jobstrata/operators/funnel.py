@@ -150,10 +150,11 @@ def parse_batches(batches: DataFrame) -> DataFrame:
 
     The answer is an object with `evaluations`, or a bare list; anything else gives nothing. Items that are not objects
     or point outside the batch are dropped; of two answers for one card the later wins."""
-    array = f"array<{EVALUATION}>"
-    as_object = F.from_json("answer", f"evaluations {array}")["evaluations"]
-    items = F.when(F.col("answer").rlike(r"^\s*\["), F.from_json("answer", array)).otherwise(as_object)
-    rows = batches.select("batch_id", "size", F.posexplode(items).alias("_at", "ev"))
+    as_object = F.from_json("answer", "evaluations array<string>")["evaluations"]
+    items = F.when(F.col("answer").rlike(r"^\s*\["), F.from_json("answer", "array<string>")).otherwise(as_object)
+    # items are read one by one: a stray one does not spoil its batch
+    rows = batches.select("batch_id", "size", F.posexplode(items).alias("_at", "_item"))
+    rows = rows.withColumn("ev", F.from_json("_item", EVALUATION))
     valid = rows.where(F.col("ev.raw_index").between(0, F.col("size") - 1))
     return valid.groupBy("batch_id", F.col("ev.raw_index").alias("raw_index")).agg(F.max_by("ev", "_at").alias("ev"))
 

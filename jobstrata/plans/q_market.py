@@ -16,9 +16,14 @@ from jobstrata.session import cut_lineage
 IMPUTE_DAYS, GAP_DAYS = 3, 30
 
 
+def mentions(spark, sf):
+    """The mentions with their keys, joined and normalised once: the operators below pass over them several times."""
+    return cut_lineage(dedup.with_keys(view(spark, sf, "mentions")))
+
+
 def postings(spark, sf, fixed=True, skills=False):
     """Unique postings; skills are carried (and spelled canonically) only where a query needs them."""
-    u = dedup.unique_postings(view(spark, sf, "mentions"), GAP_DAYS, IMPUTE_DAYS, skills=skills)
+    u = dedup.unique_postings(mentions(spark, sf), GAP_DAYS, IMPUTE_DAYS, skills=skills)
     if not fixed:
         return u
     u = dedup.reclassify(u)
@@ -37,13 +42,13 @@ def _(spark, sf):
 
 @query("j8_w2_company_imputation", ctes(*identified()) + "SELECT post_id, vacancy_idx, part_id, supp_id, k_company AS company_found, company_source FROM ident")
 def _(spark, sf):
-    d = dedup.impute_company(view(spark, sf, "mentions"), IMPUTE_DAYS)
+    d = dedup.impute_company(mentions(spark, sf), IMPUTE_DAYS)
     return d.select("post_id", "vacancy_idx", "part_id", "supp_id", F.col("_company").alias("company_found"), "company_source")
 
 
 @query("w1_gap_clusters", ctes(*clustered()) + "SELECT post_id, vacancy_idx, part_id, supp_id, epoch_us(min(ts) OVER (PARTITION BY k_title, k_company, k_extra, cl)) AS cluster_start FROM clus")
 def _(spark, sf):
-    d = dedup.assign_clusters(dedup.impute_company(view(spark, sf, "mentions"), IMPUTE_DAYS), GAP_DAYS)
+    d = dedup.assign_clusters(dedup.impute_company(mentions(spark, sf), IMPUTE_DAYS), GAP_DAYS)
     return d.select("post_id", "vacancy_idx", "part_id", "supp_id", "cluster_start")
 
 

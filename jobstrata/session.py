@@ -46,6 +46,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows from a table written once to the shared folder.
+
+    Survives the loss of executors; being columnar, it is read with only the columns each consumer needs, and its size
+    is known to the planner, so a join broadcasts it only below spark.sql.autoBroadcastJoinThreshold."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
