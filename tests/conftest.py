@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,6 @@ from jobstrata.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[8]", 4, **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    s = build_session("tests", "local[8]", 4, **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="jobstrata-")})
     s.sparkContext.setLogLevel("ERROR")
     return s
