@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobstrata.llm import chat, decontaminate, pieces, quality
+from jobstrata.llm import chat, decontaminate, pieces, quality, warc
 
 #: where the public tokenizer models lie; never copied into the repository
 TOKENIZERS = "/opt/tokenizers"
@@ -19,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,8 +38,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_quality, op8_chat_format, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op4_quality, op8_chat_format, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.DIGEST_SQL}
+    return {"op2_warc": warc.PAGES_SQL, "op8_chat_format": chat.DIGEST_SQL}
