@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobstrata.llm import chat, decontaminate, pieces, quality, warc
+from jobstrata.llm import chat, decontaminate, pieces, quality, vectors, warc
 
 #: where the public tokenizer models lie; never copied into the repository
 TOKENIZERS = "/opt/tokenizers"
@@ -27,6 +27,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -38,8 +42,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op4_quality, op8_chat_format, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op4_quality, op5_embedding_near_duplicates, op8_chat_format, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.PAGES_SQL, "op8_chat_format": chat.DIGEST_SQL}
+    return {"op2_warc": warc.PAGES_SQL, "op5_embedding_near_duplicates": vectors.EXACT_SQL, "op8_chat_format": chat.DIGEST_SQL}

@@ -197,7 +197,8 @@ def read_records(index: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     Records of one block of a package are read by one range read. The digest of a payload is computed again and must be
     the stored one; a revisit has the digest and length that its record states."""
-    dealt = index.withColumn("_block", F.floor(F.col("at") / block_bytes)).repartition("path", "_block").sortWithinPartitions("path", "at")
+    partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that the short index rows are not dealt to one task
+    dealt = index.withColumn("_block", F.floor(F.col("at") / block_bytes)).repartition(partitions, "path", "_block").sortWithinPartitions("path", "at")
 
     def read(batches):
         for b in batches:
