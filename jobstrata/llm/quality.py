@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobstrata.llm.sums import SCHEMA, sum_rows, tree_sum
 from jobstrata.llm.words import NOT_SPACE, Words, small_batches
 from jobstrata.session import Stages
 
@@ -30,7 +31,6 @@ BANDWIDTH = 6.0
 RIDGE = 1e-4
 SEED = 11
 BINS = 2048
-FAN_IN = 16
 TIE_SHARE = 1e-3
 
 
@@ -97,30 +97,6 @@ def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return np.array(batch.column(column).flatten()).reshape(batch.num_rows, -1)
 
 
-def _tree_sum(rows: DataFrame, stages: Stages) -> dict[int, np.ndarray]:
-    """Sum of (k, sums) rows by k. FAN_IN tasks' sums meet in one task, level by level; a few rows reach the driver."""
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, v in zip(b.column("k").to_pylist(), b.column("sums")):
-                x = np.frombuffer(v.as_buffer(), np.float64)
-                total[k] = total[k] + x if k in total else x.copy()
-        yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
-
-    table, n = stages.keep(rows, "sums"), rows.rdd.getNumPartitions()
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        above = stages.keep(table.repartition(n).mapInArrow(add, "k int, sums binary"), "sums")
-        stages.drop(table)
-        table = above
-    total: dict[int, np.ndarray] = {}
-    for r in table.collect():  # at most FAN_IN rows for each of two folds
-        x = np.frombuffer(r["sums"], np.float64)
-        total[r["k"]] = total.get(r["k"], 0) + x
-    stages.drop(table)
-    return total
-
-
 def fit(training: DataFrame, dims: int = DIMENSIONS) -> Model:
     """Model from rows (x: statistics, y: share of label 1, fold: 0 or 1). Without rows every score is one half."""
     stages = Stages(training.sparkSession)
@@ -131,9 +107,9 @@ def fit(training: DataFrame, dims: int = DIMENSIONS) -> Model:
         for b in batches:
             x = _matrix(b, "x")
             total += np.concatenate([[len(x)], x.sum(0), (x ** 2).sum(0)])
-        yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        yield sum_rows({0: total})
 
-    m = _tree_sum(rows.select("x").mapInArrow(moments, "k int, sums binary"), stages).get(0, np.zeros(2 * N_STATS + 1))
+    m = tree_sum(rows.select("x").mapInArrow(moments, SCHEMA), stages).get(0, np.zeros(2 * N_STATS + 1))
     if m[0] == 0:
         return Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(dims + 1), np.array([0.0]), np.array([0.5 / (1 - TIE_SHARE)]), dims)
     mean = m[1: N_STATS + 1] / m[0]
@@ -147,9 +123,9 @@ def fit(training: DataFrame, dims: int = DIMENSIONS) -> Model:
             for k in (0, 1):
                 zk = z[fold == k]
                 total[k] += np.concatenate([(zk.T @ zk).ravel(), zk.T @ y[fold == k], [len(zk)]])
-        yield pa.RecordBatch.from_pydict({"k": pa.array([0, 1], pa.int32()), "sums": pa.array([total[0].tobytes(), total[1].tobytes()], pa.binary())})
+        yield sum_rows(total)
 
-    sums = _tree_sum(rows.mapInArrow(normal, "k int, sums binary"), stages)
+    sums = tree_sum(rows.mapInArrow(normal, SCHEMA), stages)
     d = dims + 1
 
     def solve(s: np.ndarray) -> np.ndarray:
@@ -167,9 +143,9 @@ def fit(training: DataFrame, dims: int = DIMENSIONS) -> Model:
             at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
             n += np.bincount(at, minlength=BINS)
             y += np.bincount(at, weights=np.array(b.column("y")), minlength=BINS)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([0], pa.int32()), "sums": pa.array([np.concatenate([n, y]).tobytes()], pa.binary())})
+        yield sum_rows({0: np.concatenate([n, y])})
 
-    counts = _tree_sum(rows.mapInArrow(binned, "k int, sums binary"), stages)[0]
+    counts = tree_sum(rows.mapInArrow(binned, SCHEMA), stages)[0]
     stages.drop(rows)
     at, value = isotonic(counts[:BINS], counts[BINS:])
     return Model(mean, scale, weights, at, value, dims)
