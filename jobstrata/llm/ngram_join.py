@@ -6,18 +6,19 @@ token among the first n - ceil(t n) + 1 of each. Rare tokens of that prefix are
 its frequent tokens has all its rare ones in it; if two such sets share none of these, they share so many frequent ones
 that some two stand side by side in both, so neighbouring pairs of frequent tokens are indexed instead of single ones.
 
-The class of a token is that of its cell in a table of counters over all documents (2**20 cells, of one size whatever the
+The class of a token is that of its cell in a table of counters over all documents (2**21 cells, of one size whatever the
 input): frequent are the cells far above the mean. So a rare token has few documents, in proportion to the input, and the
 order, which decides only how much work there is, is the same for every document. The links found do not depend on it.
 
 Sets under one key are first compared with one of them, the leader, and those linked to it form a component. Pairs are
 compared only if they share a key and are not yet connected, so a large group of near copies costs about one comparison
-for each member and leader instead of one for each pair."""
+for each member and leader instead of one for each pair. Three exact bounds come before a comparison of whole sets: the
+sizes; the tokens that stand before the key where a pair meets first, which it cannot share; and the heads, the of smallest hashes, where an unlike pair already has more unshared tokens than a similar one may have at all."""
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.llm.graph import components
@@ -27,10 +28,11 @@ from jobstrata.session import Stages
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
-CELL_BITS = 20
-MARGIN = 64
+CELL_BITS = 21
+MARGIN = 16
 SALTS = 16
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+LARGE_KEY = 1000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,8 +52,11 @@ def set_nodes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-def prefix_keys(tokens: np.ndarray, first: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, key, whether the key is of the frequent class) of all keys under which sets are indexed."""
+def prefix_keys(tokens: np.ndarray, first: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """(set, key, whether the key is of the frequent class, tokens before it) of all keys under which sets are indexed.
+
+    "Before it" are the set's tokens that a partner cannot share if this is the first key at which the two meet: those of
+    lower rank than a single token, all rare ones for a pair of frequent tokens."""
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     often = frequent[cells_of(tokens)]
@@ -62,23 +67,33 @@ def prefix_keys(tokens: np.ndarray, first: np.ndarray, frequent: np.ndarray, num
     # A union of up to `few` tokens guarantees no neighbouring pair; such small sets index single frequent tokens too.
     few = int(1 / (2 * num / den - 1) * den / num) + 1
     single = (rank < prefix) & (~often | (n[doc] <= few))
-    reaches = np.bincount(doc, weights=~often, minlength=len(n))[doc] < prefix
+    rare = np.bincount(doc, weights=~often, minlength=len(n)).astype(np.int64)
+    reaches = rare[doc] < prefix
     pair = np.zeros(len(tokens), bool)
     pair[:-1] = often[:-1] & often[1:] & (doc[:-1] == doc[1:]) & reaches[:-1]
     at = np.flatnonzero(pair)
-    return np.concatenate([doc[single], doc[at]]), np.concatenate([tokens[single], mix(tokens[at] * _PAIR + tokens[at + 1])]), np.concatenate([often[single], np.ones(len(at), bool)])
+    return np.concatenate([doc[single], doc[at]]), np.concatenate([tokens[single], mix(tokens[at] * _PAIR + tokens[at + 1])]), np.concatenate([often[single], np.ones(len(at), bool)]), np.concatenate([rank[single], rare[doc[at]]])
+
+
+def least_shared(n_a, n_b, num: int, den: int):
+    """Fewest tokens that two similar sets of these sizes share (numbers, arrays or columns)."""
+    total = n_a + n_b
+    return F.ceil(total * num / (num + den)) if isinstance(total, Column) else -(-num * total // (num + den))
 
 
 def _described(size: int):
-    """id, node, n of each document, and the task's cell counts as rows of `sums`."""
+    """id, node, n and head (upper halves of the smallest quarter of hashes) of each document; the task's cell counts as a row of `sums`."""
+    names = ["id", "node", "n", "head", "sums"]
+
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for rows, data, offsets in small_batches(batches, "text"):
             tokens, first = shingle_sets(Words(data, offsets, NOT_SPACE), size)
             counts += np.bincount(cells_of(tokens), minlength=1 << CELL_BITS)
-            n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.nulls(len(n), pa.binary())], names=["id", "node", "n", "sums"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["id", "node", "n", "sums"])
+            n, upper = np.diff(first), (tokens >> np.uint64(32)).astype(np.uint32)
+            heads = [upper[a: a + (k + 3) // 4].tobytes() for a, k in zip(first, n)]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.array(heads, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
     return run
 
 
@@ -86,45 +101,65 @@ def _postings(size: int, frequent, num: int, den: int):
     def run(batches):
         for _, data, offsets in small_batches(batches, "text"):
             tokens, first = shingle_sets(Words(data, offsets, NOT_SPACE), size)
-            doc, key, often = prefix_keys(tokens, first, frequent.value, num, den)
+            doc, key, often, before = prefix_keys(tokens, first, frequent.value, num, den)
             node = set_nodes(tokens, first)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.where(often, node & (SALTS - 1), -1).astype(np.int32)), pa.array(node)], names=["key", "salt", "node"])
+            salt, n = np.where(often, node & (SALTS - 1), -1).astype(np.int32), np.diff(first)[doc].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), salt, before.astype(np.int32), n, node)], names=["key", "salt", "r", "n", "node"])
     return run
 
 
 def _runs(batches):
-    """Of rows sorted by (key, salt, node): those of keys with several nodes, with the first node as leader, once each.
+    """Of rows sorted by (key, salt, r, node): those of keys with several nodes, once each, with the first one as leader.
 
-    Nodes under a salt come even if alone, since the same key has others. Nothing but the last row is remembered."""
-    last_key, last_salt, last_node, leader, told = None, None, None, None, True
+    Nodes under a salt come even if alone, since the same key may have others. Only the last row and its leader are remembered."""
+    names = ["key", "salt", "r", "n", "node", "leader_r", "leader_n", "leader"]
+    last = lead = None  # (key, salt, r, n, node) of the last row, and of the first one of its key
+    told = True         # whether the leader's own row has been given
     for b in batches:
-        key, salt, node = (np.array(b.column(c)) for c in ("key", "salt", "node"))
-        if not len(key):
+        if not b.num_rows:
             continue
-        same_run, same_node = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        same_run[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
-        same_node[1:] = same_run[1:] & (node[1:] == node[:-1])
-        if last_key is not None:
-            same_run[0] = key[0] == last_key and salt[0] == last_salt
-            same_node[0] = same_run[0] and node[0] == last_node
-        keep = ~same_node
-        k, s, v, joined = key[keep], salt[keep], node[keep], same_run[keep]
-        if len(k):
-            start = np.flatnonzero(~joined)
-            lead = np.empty(len(k), np.int64)
-            which = np.cumsum(~joined) - 1
-            lead[which >= 0] = v[start][which[which >= 0]]
-            lead[which < 0] = leader if leader is not None else 0
-            # a run's first row is told as soon as a second one is seen
-            more = np.append(joined[1:], False)
-            show = joined | more | (s >= 0)
-            out_k, out_s, out_v, out_l = k[show], s[show], v[show], lead[show]
-            if joined[0] and not told:
-                out_k, out_s, out_v, out_l = np.append(out_k, last_key), np.append(out_s, last_salt), np.append(out_v, leader), np.append(out_l, leader)
-            told = bool(show[-1]) or (told and bool(joined[-1])) or bool(joined[-1])
-            leader = lead[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_s), pa.array(out_v), pa.array(out_l)], names=["key", "salt", "node", "leader"])
-        last_key, last_salt, last_node = key[-1], salt[-1], node[-1]
+        rows = np.column_stack([np.array(b.column(c)).astype(np.int64) for c in ("key", "salt", "r", "n", "node")])
+        if last is not None:
+            rows = np.concatenate([[last], rows])
+        same_run = np.append(False, (rows[1:, :2] == rows[:-1, :2]).all(1))
+        keep = np.append(True, ~(same_run[1:] & (rows[1:, 4] == rows[:-1, 4])))
+        rows, same_run = rows[keep], same_run[keep]
+        which = np.cumsum(~same_run) - 1
+        leads = rows[~same_run][which]
+        if last is not None:
+            leads[which == 0] = lead
+        shown = same_run | np.append(same_run[1:], False) | (rows[:, 1] >= 0)
+        if last is not None:  # the repeated last row of the batch before
+            again = shown[0] and not told and (rows[0] == lead).all()
+            out = shown.copy()
+            out[0] = again
+            last_told = told or again
+        else:
+            out, last_told = shown, False
+        one = out.nonzero()[0]
+        told = bool(shown[-1]) if which[-1] > 0 or last is None else (last_told or bool(shown[-1]))
+        last, lead = rows[-1], leads[-1]
+        table = np.column_stack([rows[one], leads[one][:, [2, 3, 4]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(8)], names=names)
+
+
+def _not_refuted(num: int, den: int):
+    """Pairs whose heads do not show more unshared tokens than two similar sets can have."""
+    def run(batches):
+        for rows in batches:
+            n_a, n_b = np.array(rows.column("n_a")), np.array(rows.column("n_b"))
+            limit = n_a + n_b - 2 * least_shared(n_a, n_b, num, den)
+            open_ = []
+            for x, y, most, k_a, k_b in zip(rows.column("head_a"), rows.column("head_b"), limit, n_a, n_b):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                # up to this hash both heads are complete
+                end = min([int(h[-1]) for h, n in ((x, k_a), (y, k_b)) if len(h) < n], default=1 << 32)
+                x, y = x[: np.searchsorted(x, end, "left")], y[: np.searchsorted(y, end, "left")]
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+                open_.append(len(x) + len(y) - 2 * shared <= most)
+            mask = pa.array(open_, pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+    return run
 
 
 def _verified(num: int, den: int):
@@ -148,49 +183,52 @@ class _Graph:
 
     def __init__(self, docs: DataFrame, members: DataFrame, size: int, similarity: tuple[int, int], stages: Stages):
         self.docs, self.members, self.size, (self.num, self.den), self.stages = docs, members, size, similarity, stages
-        self.links = self.tested = self.roots = self.sets = None
+        self.links = self.tested = self.roots = None
 
-    def _read_sets(self, pairs: DataFrame) -> None:
-        """Sets of the nodes of the pairs that have not been read yet, each from one of its documents."""
+    def pairs(self, rows: DataFrame, x: str, y: str) -> DataFrame:
+        """Distinct pairs (a < b) of rows with x, x_n, x_r, y, y_n, y_r that the sizes, and the tokens before the key, allow.
+
+        A similar pair passes at the first key that both have."""
+        n_x, n_y = F.col(f"{x}_n"), F.col(f"{y}_n")
+        fits = (F.least(n_x, n_y) * self.den >= F.greatest(n_x, n_y) * self.num) & (F.least(n_x - F.col(f"{x}_r"), n_y - F.col(f"{y}_r")) >= least_shared(n_x, n_y, self.num, self.den))
+        first = F.col(x) < F.col(y)
+        way = lambda s, t: F.when(first, F.col(s)).otherwise(F.col(t))
+        return rows.where((F.col(x) != F.col(y)) & fits).select(way(x, y).alias("a"), way(y, x).alias("b"), way(f"{x}_n", f"{y}_n").alias("n_a"), way(f"{y}_n", f"{x}_n").alias("n_b")).distinct()
+
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        """Whole sets of the nodes of some pairs, each read from one of its documents."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        size, ids = self.size, self.members.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+        size, ids = self.size, self.members.select("id", "node").join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
 
         def read(batches):
             for _, data, offsets in small_batches(batches, "text"):
                 tokens, first = shingle_sets(Words(data, offsets, NOT_SPACE), size)
                 yield pa.RecordBatch.from_arrays([pa.array(set_nodes(tokens, first)), pa.array([tokens[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["node", "tokens"])
 
-        found = self.docs.join(ids, "id", "left_semi").mapInArrow(read, "node long, tokens binary").dropDuplicates(["node"])
-        new = self.stages.keep(found, "sets")
-        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        return self.stages.keep(self.docs.join(ids, "id", "left_semi").mapInArrow(read, "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
     def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among pairs (a, b), a < b, of nodes."""
-        length = self.members.select("node", "n").distinct()
-        sized = pairs.join(length.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(length.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        fits = sized.where(F.least("n_a", "n_b") * self.den >= F.greatest("n_a", "n_b") * self.num).select("a", "b")
-        if self.tested is not None:
-            fits = fits.join(self.tested, ["a", "b"], "left_anti")
-        fits = self.stages.keep(fits, "pairs")
+        """Adds the links among the pairs not compared before."""
+        fits = self.stages.keep(pairs if self.tested is None else pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         self.tested = fits if self.tested is None else self.tested.unionByName(fits)
-        self._read_sets(fits)
-        near = fits.join(self.sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b").join(self.sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
+        head = self.heads()
+        shown = fits.join(head.select(F.col("node").alias("b"), F.col("head").alias("head_b")), "b").join(head.select(F.col("node").alias("a"), F.col("head").alias("head_a")), "a")
+        left = self.stages.keep(shown.select("a", "b", "n_a", "n_b", "head_a", "head_b").mapInArrow(_not_refuted(self.num, self.den), "a long, b long"), "open")
+        sets = self._sets(left)
+        near = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("set_a")), "a")
         new = self.stages.keep(near.select("a", "b", "set_a", "set_b").mapInArrow(_verified(self.num, self.den), "a long, b long"), "near")
         self.links = new if self.links is None else self.links.unionByName(new)
         self.roots = components(self.links)
+        self.stages.drop(left, sets)
+
+    def heads(self) -> DataFrame:
+        return self.members.where("node is not null").groupBy("node").agg(F.first("head").alias("head"))
 
     def open_keys(self, candidates: DataFrame) -> DataFrame:
-        """Rows of the candidates whose key still has several components, with `root`."""
+        """Rows of the candidates whose key still has several components: key, salt, node, node_n, node_r, root, size."""
         rooted = candidates.join(self.roots.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = self.stages.keep(rooted.select("key", "node", "root"), "rooted")
-        many = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return self.stages.keep(rooted.join(many, "key"), "open")
-
-
-def ordered_pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.where(f"{x} <> {y}").select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        many = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+        return self.stages.keep(rooted.join(many, "key").select("key", "salt", "node", "node_n", "node_r", "root", "size"), "open")
 
 
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -203,36 +241,39 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     stages = Stages(spark)
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = stages.keep(one.mapInArrow(_described(size), "id long, node long, n long, sums binary"), "described")
-    members = described.where("sums is null").select("id", "node", "n")
+    described = stages.keep(one.mapInArrow(_described(size), "id long, node long, n long, head binary, sums binary"), "described")
+    members = described.where("sums is null").select("id", "node", "n", "head")
     counts = tree_sum(described.where("sums is not null").select(F.lit(0).alias("k"), "sums"), stages, np.int64).get(0, np.zeros(1 << CELL_BITS, np.int64))
-    frequent = spark.sparkContext.broadcast(frequent_cells(counts))  # one bit's worth per cell, of fixed size
+    frequent = spark.sparkContext.broadcast(frequent_cells(counts))  # a table of fixed size
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = one.mapInArrow(_postings(size, frequent, num, den), "key long, salt int, node long")
-    runs = postings.repartition(partitions, "key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_runs, "key long, salt int, node long, leader long")
-    candidates = stages.keep(runs, "candidates")
-
-    salted = candidates.where("salt >= 0").groupBy("key").agg(F.min("leader").alias("top"), F.max("leader").alias("other")).where("top <> other").select("key", "top")
-    across = candidates.where("salt >= 0 and leader = node").select("key", "leader").join(salted, "key")
+    postings = one.mapInArrow(_postings(size, frequent, num, den), "key long, salt int, r int, n int, node long")
+    sorted_ = postings.repartition(partitions, "key", "salt").sortWithinPartitions("key", "salt", "r", "node")
+    runs = sorted_.mapInArrow(_runs, "key long, salt long, r long, n long, node long, leader_r long, leader_n long, leader long")
+    candidates = stages.keep(runs.withColumnsRenamed({"r": "node_r", "n": "node_n"}), "candidates")
+
+    # a key dealt out by salts has a leader for each; these are compared with the first of them
+    led = candidates.where("salt >= 0 and leader = node").select("key", "salt", "leader", "leader_n", "leader_r")
+    top = led.groupBy("key").agg(F.min(F.struct("leader_r", "leader", "leader_n")).alias("t"))
+    across = led.join(top, "key").select("salt", "leader", "leader_n", "leader_r", F.col("t.leader").alias("top"), F.col("t.leader_n").alias("top_n"), F.col("t.leader_r").alias("top_r"))
     g = _Graph(one, members, size, similarity, stages)
-    g.compare(ordered_pairs(candidates, "leader", "node").unionByName(ordered_pairs(across, "leader", "top")).distinct())
-    rest = candidates.select("key", "node")
+    g.compare(g.pairs(candidates, "leader", "node").unionByName(g.pairs(across, "leader", "top")).distinct())
+    rest = g.open_keys(candidates.select("key", "salt", "node", "node_n", "node_r"))
     for k in range(LEADER_ROUNDS):
-        rest = g.open_keys(rest.select("key", "node"))
-        if rest.isEmpty():
+        large = rest.where(F.col("size") > LARGE_KEY)
+        if large.isEmpty():
             break
-        # another leader for each key, and every node not connected with it
-        led = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")).alias("l"))
-        g.compare(ordered_pairs(rest.join(led, "key").where("root <> l.root").select("node", F.col("l.node").alias("leader")), "leader", "node"))
-    else:
-        rest = g.open_keys(rest.select("key", "node"))
-        other = rest.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-        g.compare(ordered_pairs(rest.join(other, "key").where("root <> root_b and node < node_b"), "node", "node_b"))
-
-    rooted = members.where("node is not null").join(g.roots, "node", "left").select("id", "node", F.coalesce("component", "node").alias("root"))
+        # more leaders for keys with many sets, and every set not connected with them
+        first = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "node_n", "node_r", "root")).alias("l")
+        led = large.groupBy("key").agg(first).select("key", *[F.col(f"l.{c}").alias(c.replace("node", "leader")) for c in ("node", "node_n", "node_r")], F.col("l.root").alias("leader_root"))
+        g.compare(g.pairs(large.join(led, "key").where("root <> leader_root"), "leader", "node"))
+        rest = g.open_keys(rest.drop("root", "size"))
+    other = rest.select("key", *[F.col(c).alias(c.replace("node", "other")) for c in ("node", "node_n", "node_r")], F.col("root").alias("other_root"))
+    g.compare(g.pairs(rest.join(other, "key").where("root <> other_root and node < other"), "node", "other"))
+
+    rooted = members.select("id", "node").where("node is not null").join(g.roots, "node", "left").select("id", "node", F.coalesce("component", "node").alias("root"))
     named = rooted.select("node", "root").distinct().join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
-    out = members.join(named, "node", "left")
+    out = members.select("id", "node", "n").join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -76,17 +76,15 @@ def test_one_of_each_stays(spark, documents):
 
 def test_runs_do_not_depend_on_batches():
     rnd = random.Random(1)
-    rows = sorted((rnd.randrange(12), -1 if k % 3 else rnd.randrange(2), rnd.randrange(6)) for k in range(80))
-    rows = sorted((k, -1 if k % 3 else s if s >= 0 else 0, v) for k, s, v in rows)
+    rows = sorted((k, -1 if k % 3 else rnd.randrange(2), v % 3, 9, v) for k, v in ((rnd.randrange(12), rnd.randrange(6)) for _ in range(80)))
     want = set()
-    for k, s in {(k, s) for k, s, _ in rows}:
-        nodes = sorted({v for a, b, v in rows if (a, b) == (k, s)})
-        want |= {(k, s, v, nodes[0]) for v in nodes if len(nodes) > 1 or s >= 0}
-    for size in (1, 2, 7, 80):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p], pa.int64()), pa.array([r[1] for r in p], pa.int32()), pa.array([r[2] for r in p], pa.int64())], names=["key", "salt", "node"])
-                   for p in (rows[i:i + size] for i in range(0, len(rows), size))]
+    for k, s in {r[:2] for r in rows}:
+        nodes = sorted({r for r in rows if r[:2] == (k, s)})
+        want |= {(*r, *nodes[0][2:]) for r in nodes if len(nodes) > 1 or s >= 0}
+    for size in (1, 2, 3, 7, 80):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in p], pa.int64()) for i in range(5)], names=["key", "salt", "r", "n", "node"]) for p in (rows[i:i + size] for i in range(0, len(rows), size))]
         got = [tuple(r.values()) for b in N._runs(iter(batches)) for r in b.to_pylist()]
-        assert len(got) == len(set(got)) and set(got) == want
+        assert len(got) == len(set(got)) and set(got) == want, size
 
 
 def test_prefix_keys_miss_no_pair():
@@ -99,5 +97,5 @@ def test_prefix_keys_miss_no_pair():
         if 4 * both < 3 * (len(base) + len(other) - both) or not len(other):
             continue
         frequent = rnd.random(1 << N.CELL_BITS) < rnd.random()
-        doc, key, _ = N.prefix_keys(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), frequent, 75, 100)
+        doc, key, _, _ = N.prefix_keys(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), frequent, 75, 100)
         assert np.intersect1d(key[doc == 0], key[doc == 1]).size
