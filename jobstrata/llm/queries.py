@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobstrata.llm import chat, decontaminate, ngram_join, pieces, quality, vectors, warc
+from jobstrata.llm import chat, decontaminate, ngram_join, pieces, pii, quality, vectors, warc
 
 #: where the public tokenizer models lie; never copied into the repository
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +31,10 @@ def op5_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_documents(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op4_quality, op5_embedding_near_duplicates, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
