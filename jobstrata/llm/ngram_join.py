@@ -11,7 +11,8 @@ input): frequent are the cells far above the mean. So a rare token has few docum
 order, which decides only how much work there is, is the same for every document. The links found do not depend on it.
 
 Sets under one key are first compared with one of them, the leader, and those linked to it form a component. Pairs are
-compared only if they share a key and are not yet connected, so a large group of near copies costs about one comparison
+compared only if they share a key and are not yet connected, and signatures of parity bits do not show too many
+unshared tokens, so a large group of near copies costs about one comparison
 for each member and leader instead of one for each pair. Three exact bounds come before a comparison of whole sets: the
 sizes; the tokens that stand before the key where a pair meets first, which it cannot share; and the heads, the of smallest hashes, where an unlike pair already has more unshared tokens than a similar one may have at all."""
 from __future__ import annotations
@@ -31,6 +32,7 @@ SIMILARITY = (75, 100)
 CELL_BITS = 21
 MARGIN = 16
 SALTS = 16
+SIGNATURE = 8     # words of 64 parity bits
 LEADER_ROUNDS = 2
 LARGE_KEY = 1000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -81,9 +83,19 @@ def least_shared(n_a, n_b, num: int, den: int):
     return F.ceil(total * num / (num + den)) if isinstance(total, Column) else -(-num * total // (num + den))
 
 
+def parities(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SIGNATURE int64 per set; bit k tells whether an odd number of tokens fall into class k. Where two of them differ,
+    the sets have an unshared token."""
+    bits, n = 64 * SIGNATURE, len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(doc * bits + (tokens & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits).reshape(n, bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(np.int64).reshape(n, SIGNATURE)
+
+
 def _described(size: int):
-    """id, node, n and head (upper halves of the smallest quarter of hashes) of each document; the task's cell counts as a row of `sums`."""
-    names = ["id", "node", "n", "head", "sums"]
+    """id, node, n, head (upper halves of the smallest quarter of hashes) and signature of each document; the task's cell
+    counts as a row of `sums`."""
+    names = ["id", "node", "n", "head", "sums"] + [f"s{i}" for i in range(SIGNATURE)]
 
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -92,8 +104,8 @@ def _described(size: int):
             counts += np.bincount(cells_of(tokens), minlength=1 << CELL_BITS)
             n, upper = np.diff(first), (tokens >> np.uint64(32)).astype(np.uint32)
             heads = [upper[a: a + (k + 3) // 4].tobytes() for a, k in zip(first, n)]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.array(heads, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.array(heads, pa.binary()), pa.nulls(len(n), pa.binary()), *map(pa.array, np.ascontiguousarray(parities(tokens, first).T))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())] + [pa.nulls(1, pa.int64())] * SIGNATURE, names=names)
     return run
 
 
@@ -241,8 +253,8 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     stages = Stages(spark)
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = stages.keep(one.mapInArrow(_described(size), "id long, node long, n long, head binary, sums binary"), "described")
-    members = described.where("sums is null").select("id", "node", "n", "head")
+    described = stages.keep(one.mapInArrow(_described(size), "id long, node long, n long, head binary, sums binary, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))), "described")
+    members = described.where("sums is null").drop("sums")
     counts = tree_sum(described.where("sums is not null").select(F.lit(0).alias("k"), "sums"), stages, np.int64).get(0, np.zeros(1 << CELL_BITS, np.int64))
     frequent = spark.sparkContext.broadcast(frequent_cells(counts))  # a table of fixed size
 
@@ -268,8 +280,12 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         led = large.groupBy("key").agg(first).select("key", *[F.col(f"l.{c}").alias(c.replace("node", "leader")) for c in ("node", "node_n", "node_r")], F.col("l.root").alias("leader_root"))
         g.compare(g.pairs(large.join(led, "key").where("root <> leader_root"), "leader", "node"))
         rest = g.open_keys(rest.drop("root", "size"))
-    other = rest.select("key", *[F.col(c).alias(c.replace("node", "other")) for c in ("node", "node_n", "node_r")], F.col("root").alias("other_root"))
-    g.compare(g.pairs(rest.join(other, "key").where("root <> other_root and node < other"), "node", "other"))
+    signed = members.where("node is not null").groupBy("node").agg(*[F.first(f"s{i}").alias(f"s{i}") for i in range(SIGNATURE)])
+    rest = rest.join(signed, "node")
+    other = rest.select("key", *[F.col(f"s{i}").alias(f"t{i}") for i in range(SIGNATURE)], *[F.col(c).alias(c.replace("node", "other")) for c in ("node", "node_n", "node_r")], F.col("root").alias("other_root"))
+    unlike = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    near = F.col("node_n") + F.col("other_n") - unlike >= 2 * least_shared(F.col("node_n"), F.col("other_n"), num, den)
+    g.compare(g.pairs(rest.join(other, "key").where(F.expr("root <> other_root and node < other") & near), "node", "other"))
 
     rooted = members.select("id", "node").where("node is not null").join(g.roots, "node", "left").select("id", "node", F.coalesce("component", "node").alias("root"))
     named = rooted.select("node", "root").distinct().join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
