@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobstrata.llm import chat, decontaminate, ngram_join, passages, pieces, pii, quality, vectors, warc
+from jobstrata.llm import chat, decontaminate, lines, ngram_join, passages, pieces, pii, quality, vectors, warc
 
 #: where the public tokenizer models lie; never copied into the repository
 TOKENIZERS = "/opt/tokenizers"
@@ -53,8 +53,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = f"{TOK
     return pieces.encoded_documents(_table(spark, sf_dir, "documents"), pieces.load_vocabulary(model_file))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repeated_passages, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repeated_passages, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
