@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.llm.graph import components
-from jobstrata.llm.sums import tree_sum
+from jobstrata.llm.sums import packed, tree_sum
 from jobstrata.llm.words import NOT_SPACE, Words, mix, shingle_sets, small_batches
 from jobstrata.session import Stages
 
@@ -105,7 +105,7 @@ def _described(size: int):
             n, upper = np.diff(first), (tokens >> np.uint64(32)).astype(np.uint32)
             heads = [upper[a: a + (k + 3) // 4].tobytes() for a, k in zip(first, n)]
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.array(heads, pa.binary()), pa.nulls(len(n), pa.binary()), *map(pa.array, np.ascontiguousarray(parities(tokens, first).T))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())] + [pa.nulls(1, pa.int64())] * SIGNATURE, names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([packed(counts)], pa.binary())] + [pa.nulls(1, pa.int64())] * SIGNATURE, names=names)
     return run
 
 
@@ -255,7 +255,7 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = stages.keep(one.mapInArrow(_described(size), "id long, node long, n long, head binary, sums binary, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))), "described")
     members = described.where("sums is null").drop("sums")
-    counts = tree_sum(described.where("sums is not null").select(F.lit(0).alias("k"), "sums"), stages, np.int64).get(0, np.zeros(1 << CELL_BITS, np.int64))
+    counts = tree_sum(described.where("sums is not null").select(F.lit(0).alias("k"), "sums"), stages).get(0, np.zeros(1 << CELL_BITS, np.int64))
     frequent = spark.sparkContext.broadcast(frequent_cells(counts))  # a table of fixed size
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
