@@ -34,7 +34,7 @@ def parse_views(raw: Column) -> Column:
 def budget_uah(raw: Column) -> Column:
     """First amount of a budget text in the local currency; null when there is none."""
     t = F.coalesce(raw, F.lit(""))
-    amount = F.regexp_replace(F.regexp_extract(t, r"(\d[\d\s]*(?:[.,]\d+)?)", 1), r"\s", "")
+    amount = F.regexp_replace(F.regexp_extract(t, r"(\d[\d\s\u00a0\u202f]*(?:[.,]\d+)?)", 1), r"[\s\u00a0\u202f]", "")
     value = F.replace(amount, F.lit(","), F.lit(".")).try_cast("double")
     return value * F.when(t.rlike(r"(?i)usd|\$"), USD_TO_UAH).otherwise(1.0)
 

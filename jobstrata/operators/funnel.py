@@ -182,8 +182,9 @@ def agreement(a: Column, b: Column) -> list[Column]:
             F.count_if(~both).alias("not_compared")]
 
 
-def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFrame, log: DataFrame | None, applied: DataFrame | None) -> DataFrame:
-    """cards × evaluations → one decision per card (rows out = rows in).
+def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFrame, log: DataFrame | None, applied: DataFrame | None,
+           stage_two: int = STAGE2_LIMIT, undated_most: int = UNDATED_LIMIT, near_most: int = NEAR_LIMIT) -> DataFrame:
+    """cards × evaluations → one decision per card (rows out = rows in). The caps label rows of a run, they drop none.
 
     `first` / `second`: card_id and the flattened evaluation of the card and of the full text; `texts`: card_id, full_text."""
     base = prefilter(known.prefilter_known(cards, log, applied))
@@ -197,7 +198,7 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
     passed1 = F.coalesce(F.col("e1.passes_criteria"), F.lit(False)) & ~F.coalesce(F.col("e1.failed"), F.lit(False))
     # read several times below: written once to the shared folder instead of recomputed
     j = cut_lineage(j.withColumn("_ranked", open_ & passed1 & F.col("level1").isin("High", "Medium")))
-    j = stage_two_cap(j, "_ranked")
+    j = stage_two_cap(j, "_ranked", stage_two)
     # the deciding evaluation: the full text for cards that got there, the card otherwise
     j = j.withColumn("ev", F.when(F.col("stage2"), F.col("e2")).otherwise(F.col("e1")))
     failed = F.col("ev").isNull() | F.coalesce(F.col("ev.failed"), F.lit(False))
@@ -226,7 +227,7 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
                .when(known.repost_state(F.col("run_date"), F.col("repost_date")) == "near", "repost").otherwise("shown"))
     checks = cut_lineage(checks.withColumn("outcome", outcome))
     undated_shown = checks.where(F.col("_undated") & (F.col("outcome") == "shown"))
-    allowed = first_k_per_group(undated_shown.select("run_date", "card_id"), ["run_date"], [F.col("card_id")], UNDATED_LIMIT, "card_id", "_ok").where(~F.col("_ok")).select("card_id", F.lit(True).alias("_over"))
+    allowed = first_k_per_group(undated_shown.select("run_date", "card_id"), ["run_date"], [F.col("card_id")], undated_most, "card_id", "_ok").where(~F.col("_ok")).select("card_id", F.lit(True).alias("_over"))
     checks = checks.join(allowed, "card_id", "left").withColumn("outcome", F.when(F.col("_over"), "undated").otherwise(F.col("outcome")))
     j = j.join(checks.select("card_id", "outcome", "repost_date", F.col("status").alias("_status"), F.col("verdict").alias("_verdict")), "card_id", "left")
     s = F.when(F.col("state") == "final", F.col("outcome")).otherwise(F.col("state"))
@@ -234,7 +235,7 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
 
     near = j.where(F.col("s") == "near").select("run_date", "card_id", F.col("ev.posted_date").alias("d"))
     # known dates first, newest first; dateless last; ties by position
-    kept = first_k_per_group(near, ["run_date"], [F.desc(F.coalesce("d", F.lit(""))), F.col("card_id")], NEAR_LIMIT, "card_id", "_near")
+    kept = first_k_per_group(near, ["run_date"], [F.desc(F.coalesce("d", F.lit(""))), F.col("card_id")], near_most, "card_id", "_near")
     j = j.join(kept.where("_near").select("card_id", "_near"), "card_id", "left")
     reason = F.coalesce(F.col("ev.reject_reason"), F.lit(""))
     code = (F.when(F.col("s") == "pre", F.col("pre_code")).when(F.col("s") == "cap", NOT_EVALUATED["cap"][1])
@@ -244,7 +245,7 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
             .otherwise(F.coalesce(F.nullif(F.col("ev.reject_code"), F.lit("")), F.lit("інше"))))
     level = match_level(F.col("ev.match_level"), F.col("ev.score_skills"), F.col("ev.score_duties"), F.col("ev.score_expectations"), ~F.col("_full"))
     level = F.when(F.col("cap_medium") & (level == "High"), "Medium").otherwise(level)
-    detail = (F.when(F.col("s") == "pre", F.col("pre_detail")).when(F.col("s") == "cap", f"ліміт етапу 2: {STAGE2_LIMIT}")
+    detail = (F.when(F.col("s") == "pre", F.col("pre_detail")).when(F.col("s") == "cap", f"ліміт етапу 2: {stage_two}")
               .when(F.col("s") == "failed", F.when(F.col("stage2"), F.when(F.col("ev").isNull(), "етап 2 без оцінки").otherwise("етап 2"))
                     .otherwise(F.when(F.col("ev").isNull(), "модель не повернула оцінку").otherwise("етап 1")))
               .when(F.col("s") == "low", "Low на етапі 1 (картка)").when(F.col("s") == "dup", "після оцінки")

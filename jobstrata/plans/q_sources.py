@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jobstrata.functions import dates, numbers, text
 from jobstrata.operators import funnel, mail, tables
+from jobstrata.operators.scale import running_position
 from jobstrata.plans.bindings import ctes, table, view
 from jobstrata.plans.registry import query
 from jobstrata.session import scratch_path
@@ -32,10 +33,10 @@ def _main_sql(h):
     return rf"trim(regexp_replace({_UN.format(x=f'''regexp_replace({body}, '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')''')}, '\s+', ' ', 'g'))"
 
 
-@query("s3_z4_main_text", f"SELECT page_id, length(t) AS n_chars, CASE WHEN length(t) >= 200 THEN t[1:6000] END AS text FROM (SELECT page_id, {_main_sql('html')} AS t FROM pages)")
+@query("s3_z4_main_text", f"SELECT page_id, length(t) AS n_chars, CASE WHEN length(t) >= 200 THEN t[1:6000] END AS text, t AS full_text FROM (SELECT page_id, {_main_sql('html')} AS t FROM pages)")
 def _(spark, sf):
     p = table(spark, sf, "pages")
-    return p.select("page_id", F.length(pages.main_text(F.col("html"))).cast("bigint").alias("n_chars"), pages.page_text(F.col("html")).alias("text"))
+    return p.select("page_id", F.length(pages.main_text(F.col("html"))).cast("bigint").alias("n_chars"), pages.page_text(F.col("html"), least=pages.MIN_TEXT_CHARS, most=pages.MAX_TEXT_CHARS).alias("text"), pages.page_text(F.col("html")).alias("full_text"))
 
 
 def feed_pages(spark, sf):
@@ -184,12 +185,16 @@ def _(spark, sf):
     return docs.classified_baseline(view(spark, sf, "posts"), view(spark, sf, "mentions"))
 
 
-@query("o1_o2_o5_source_order", ctes("cards") + "SELECT card_id, source, row_number() OVER (ORDER BY CASE source WHEN 'board-d' THEN 0 WHEN 'board-a' THEN 1 ELSE 2 END, source, card_id DESC) AS place FROM cards ORDER BY place LIMIT 1000")
+@query("o1_o2_o5_source_order", ctes("cards") + "SELECT card_id, source, row_number() OVER (ORDER BY CASE source WHEN 'board-d' THEN 0 WHEN 'board-a' THEN 1 ELSE 2 END, source, card_id DESC) AS place FROM cards")
 def _(spark, sf):
-    """The first thousand rows of the report order: a top-k, ranked after the limit."""
-    order = [*docs.source_order(F.col("source"), ["board-d", "board-a"]), F.desc("card_id")]
-    top = view(spark, sf, "cards").select("card_id", "source").orderBy(*order).limit(1000)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Every card with its place in the report order."""
+    rank, _ = docs.source_order(F.col("source"), ["board-d", "board-a"])
+    cards = view(spark, sf, "cards").select("card_id", "source", (-F.col("card_id")).alias("pos"))
+    sizes = cards.groupBy("source").agg(F.count(F.lit(1)).alias("n"))  # one row per source
+    before = Window.orderBy(rank, "source").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    placed = running_position(cards, ["source"], "pos", 10_000, "inside")
+    return placed.join(offsets, "source").select("card_id", "source", (F.col("offset") + F.col("inside")).cast("long").alias("place"))
 
 
 @query("o4_newest_threads", ctes("mails") + "SELECT thread_id, true AS truncated FROM (SELECT DISTINCT thread_id FROM mails) ORDER BY thread_id DESC LIMIT 50")

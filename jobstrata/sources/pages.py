@@ -127,18 +127,21 @@ def main_text(html: Column) -> Column:
     return one_line(visible_text(F.when(body != "", body).otherwise(html)))
 
 
-def page_text(html: Column, container: str | None = None) -> Column:
-    """The text of the container when it has more than 200 characters, else of the body; null under 200, at most 6000."""
+def page_text(html: Column, container: str | None = None, least: int = 0, most: int | None = None) -> Column:
+    """The text of the container when it has more than 200 characters, else of the body. Null under `least` characters; cut
+    after `most` only where that is given."""
     text = main_text(html)
     if container:
         inner = main_text(F.regexp_extract(html, container, 1))
         text = F.when(F.length(inner) > MIN_TEXT_CHARS, inner).otherwise(text)
-    return F.when(F.length(text) >= MIN_TEXT_CHARS, F.substring(text, 1, MAX_TEXT_CHARS))
+    return F.when(F.length(text) >= least, text if most is None else F.substring(text, 1, most))
 
 
 def embedded_objects(pages: DataFrame, keyword: str, schema: str, page_id: str = "page_id") -> DataFrame:
     """JSON objects with a title inside scripts that mention the keyword; malformed ones are skipped."""
     scripts = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), lambda s: F.lower(s).contains(keyword))
     found = pages.select(page_id, F.explode(scripts).alias("s"))
-    objects = found.select(page_id, F.explode(F.regexp_extract_all("s", F.lit(r'(\{[^{}]{0,2000}?"title"[^{}]{0,2000}?\})'), F.lit(1))).alias("j"))
+    # an object without objects inside lies between an opening brace and the next brace, which closes it
+    after = F.transform(F.filter(F.split("s", r"\{"), lambda p: p.contains("}") & p.contains('"title"')), lambda p: F.concat(F.lit("{"), F.substring_index(p, "}", 1), F.lit("}")))
+    objects = found.select(page_id, F.explode(after).alias("j")).where(F.contains("j", F.lit('"title"')))
     return objects.select(page_id, F.from_json("j", schema, {"mode": "PERMISSIVE"}).alias("o")).where(F.col("o.title").isNotNull()).select(page_id, "o.*")

@@ -27,7 +27,20 @@ def staged_stream(parts: list[DataFrame], name: str) -> DataFrame:
     root = scratch_path(spark, name)
     for i, p in enumerate(parts):
         p.write.parquet(f"{root}/{i:03d}")
-    return spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 64).parquet(root)
+    return spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").parquet(root)
+
+
+def run_in_order(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Delivers the parts one after the other to a stream that goes on from its checkpoint; returns all it wrote.
+
+    However many files a part has, its rows come after those of the parts before it."""
+    spark = parts[0].sparkSession
+    root = scratch_path(spark, name)
+    for i, p in enumerate(parts):
+        p.write.parquet(f"{root}/in/{i:03d}")
+        stream = transform(spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").parquet(f"{root}/in"))
+        (stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def above_marks(posts: DataFrame, marks: DataFrame, since: Column) -> DataFrame:
@@ -71,7 +84,8 @@ STREAK = "source string, run_us long, streak long, baseline double"
 def keyed_streaks(runs: DataFrame) -> DataFrame:
     """Zero streak and median of the last seven OK counts per source, kept as state between micro-batches.
 
-    Input is the run ledger — source, run_us, cards, status, one row per source and run — never raw rows."""
+    Input is the run ledger — source, run_us, cards, status, one row per source and run — never raw rows. Rows of a source
+    must not come in a later micro-batch than its later runs (see `run_in_order`); inside a micro-batch any order will do."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, recent = state.get if state.exists else (0, [])
         recent, out = list(recent), []

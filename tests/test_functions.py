@@ -184,3 +184,32 @@ def test_score_counts_every_disagreement(spark):
         "post_is_vacancy_precision": (1, 2), "post_is_vacancy_recall": (1, 2), "vacancy_extraction_precision": (1, 2), "vacancy_extraction_recall": (1, 2),
         "is_it_accuracy": (1, 1), "direction_accuracy": (1, 1), "level_accuracy": (0, 1)}
     assert sorted((r["key"], r["field"], r["gold"], r["pred"]) for r in errors.collect()) == [("a", "level", "junior", "middle"), ("b", "vacancy_extra", "немає", "є"), ("c", "vacancy_missed", "є", "немає")]
+
+
+def test_budget_with_no_break_spaces(spark):
+    from jobstrata.functions.numbers import budget_uah
+    rows = spark.createDataFrame([("5 000 UAH",), ("12 500,5 грн",), ("100 USD",), ("",)], "t string").select(budget_uah(F.col("t")).alias("v")).collect()
+    assert rows[0].v == 5000.0 and rows[1].v == 12500.5 and rows[2].v > 100 and rows[3].v is None
+
+
+def test_embedded_objects_of_any_length(spark):
+    from jobstrata.sources import pages
+    long = "x" * 9000
+    html = f'<script>window.vacancies=[{{"pad":"{long}","title":"A","url":"u1"}},{{"title":"B","url":"u2","pad":"{long}"}},{{"title":bad}}]</script>'
+    got = pages.embedded_objects(spark.createDataFrame([(1, html)], "page_id long, html string"), "vacanc", "title string, url string").collect()
+    assert sorted((r.title, r.url) for r in got) == [("A", "u1"), ("B", "u2")]
+
+
+def test_streaks_over_many_files(spark):
+    """More files than one trigger used to take; periods come in order, files inside them in any."""
+    from jobstrata.operators import monitor
+    from jobstrata.streaming import streams
+    rows = [(f"s{i % 3}", i * 1000, 0 if (i // 3) % 4 in (1, 2) else 5, "OK") for i in range(210)]
+    ledger = spark.createDataFrame(rows, "source string, run_us long, cards long, status string")
+    parts = [ledger.where(f"run_us >= {a} and run_us < {b}").repartition(70) for a, b in ((0, 70000), (70000, 140000), (140000, 10 ** 9))]
+    got = {(r.source, r.run_us): r.streak for r in streams.run_in_order(parts, streams.keyed_streaks, "streaks").collect()}
+    want, streak = {}, {}
+    for s, us, cards, _ in sorted(rows, key=lambda r: r[1]):
+        streak[s] = 0 if cards else streak.get(s, 0) + 1
+        want[s, us] = streak[s]
+    assert got == want and hasattr(monitor, "zero_streaks")
