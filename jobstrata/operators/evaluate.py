@@ -16,9 +16,11 @@ MATCH_RATIO = 0.6
 def stratified_sample(posts: DataFrame, n: int, seed: int, share: float = 0.7, key: str = "key", positive: str = "is_vacancy") -> DataFrame:
     """Exactly n posts, `share` of them positive; missing positives are not replaced beyond the negatives there are.
 
+    The order is that of md5(seed-key), which any engine can repeat.
+
     The rank filter is a limit per class inside each task."""
     n_yes = round(n * share)
-    w = Window.partitionBy(positive).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    w = Window.partitionBy(positive).orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col(key))), key)
     top = posts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     have = posts.where(F.col(positive)).limit(n_yes).agg(F.count(F.lit(1)).alias("c")).scalar()
     keep = F.when(F.col(positive), F.col("_r") <= n_yes).otherwise(F.col("_r") <= F.lit(n) - have)

@@ -173,6 +173,6 @@ def duck(name: str) -> str:
 
 
 def ctes(*parts: tuple[str, str] | str) -> str:
-    """`WITH a AS (…), b AS (…)`; a bare name stands for the canonical view."""
+    """`WITH a AS (…), b AS (…)`; a bare name stands for the canonical view. Each is computed once."""
     items = [(p, duck(p)) if isinstance(p, str) else p for p in parts]
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in items) + "\n"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in items) + "\n"

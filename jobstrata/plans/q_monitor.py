@@ -291,7 +291,9 @@ def _(spark, sf):
     return evaluate.kappa(d.select(F.col("quality").cast("string").alias("a"), F.when(F.col("n_chars") > 600, "1").otherwise("0").alias("b")), "a", "b")
 
 
-@query("o6_stratified_sample")
+@query("o6_stratified_sample", """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS key, n_chars > 600 AS is_vacancy FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY is_vacancy ORDER BY md5('42-' || key), key) AS r FROM d)
+SELECT key, is_vacancy FROM r WHERE CASE WHEN is_vacancy THEN r <= 70 ELSE r <= 100 - (SELECT least(70, count(*)) FROM d WHERE is_vacancy) END""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), (F.col("n_chars") > 600).alias("is_vacancy"))
     return evaluate.stratified_sample(d, 100, 42)
