@@ -3,8 +3,8 @@
 A line is the set of its five-word shingles (a shorter line has one: all its words). Words are counted in cells over all
 documents, and a shingle, which is no more frequent than its rarest word, has that word's class of frequency. Shingles of a
 line are ordered by class, then hash. Lines of Jaccard of at least t share a shingle among the first n - ceil(t n) + 1 of
-both; sizes and the place of the shared shingle (what follows it must suffice) rule out most other pairs, and the rest are
-verified on whole sets. A line goes if an earlier one (by document id, then line number) is similar to it.
+both; sizes, the place of the shared shingle (what follows it must suffice) and 64 parity bits of each set (where they
+differ, only one of the lines has a shingle) rule out most other pairs, and the rest are verified on whole sets. A line goes if an earlier one (by document id, then line number) is similar to it.
 
 Lines that repeat an earlier one word for word are found by hash and need no comparison. Others are first compared with the
 first line under each key; only those that match none of these are compared with all earlier lines under their keys."""
@@ -26,6 +26,7 @@ COMMON = 48       # class from which the lines of a key are dealt out by salts
 SALTS = 16
 BLANKS = "[ \\t\\u000B\\f\\r]+"
 _HASH = (1 << 56) - 1
+_OF_LINE = ("id", "no", "n", "before", "bits")
 
 
 def words(text: Column, separators: str = BLANKS) -> Column:
@@ -74,16 +75,18 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _allowed(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of (id, no), the earlier one first, that sizes and places allow; rows: e_* and l_* of both lines."""
+    """Distinct pairs of (id, no), the earlier one first, that sizes, places and bits allow; rows: e_* and l_* of both lines."""
     num, den = SIMILARITY
     sizes = F.least("e_n", "l_n") * den >= F.greatest("e_n", "l_n") * num
     rest = F.least(F.col("e_n") - F.col("e_before"), F.col("l_n") - F.col("l_before")) >= _least_shared(F.col("e_n"), F.col("l_n"))
+    differ = F.bit_count(F.col("e_bits").bitwiseXOR(F.col("l_bits")))
+    rest &= F.col("e_n") + F.col("l_n") - differ >= 2 * _least_shared(F.col("e_n"), F.col("l_n"))
     earlier = (F.col("e_id") < F.col("l_id")) | ((F.col("e_id") == F.col("l_id")) & (F.col("e_no") < F.col("l_no")))
     return rows.where(sizes & rest & earlier).select("e_id", "e_no", "l_id", "l_no").distinct()
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "no", "n", "before")])
+    return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in _OF_LINE])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,15 +104,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     equal = stages.keep(keyed.join(first, ["k1", "k2"]).where(F.struct("id", "no") > F.col("first")).select("id", "no").distinct(), "equal")
 
-    tokens = _lines(one).select("id", "no", shingles(F.col("line"), classes).alias("t")).select("id", "no", "t", F.size("t").alias("n")).where("n > 0")
-    posted = tokens.select("id", "no", "n", F.posexplode(F.slice("t", 1, F.col("n") - _ceil_share(F.col("n")) + 1)).alias("before", "key"))
+    tokens = _lines(one).select("id", "no", shingles(F.col("line"), classes).alias("t")).select("id", "no", "t", F.size("t").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits")).where("n > 0")
+    posted = tokens.select("id", "no", "n", "bits", F.posexplode(F.slice("t", 1, F.col("n") - _ceil_share(F.col("n")) + 1)).alias("before", "key"))
     posted = posted.withColumn("salt", F.when(F.shiftright("key", 56) >= COMMON, F.pmod("id", F.lit(SALTS)).cast("int")).otherwise(-1))
     w = Window.partitionBy("key", "salt").orderBy("id", "no")
-    lead = F.first(F.struct("id", "no", "n", "before")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    lead = F.first(F.struct(*_OF_LINE)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = posted.withColumn("lead", lead).withColumn("next", F.lead("id").over(w)).where("salt >= 0 or next is not null or lead.id <> id or lead.no <> no").drop("next")
     met = stages.keep(met.join(equal, ["id", "no"], "left_anti"), "met")
 
-    late = lambda rows, lead: rows.select(*[F.col(f"{lead}.{c}").alias(f"e_{c}") for c in ("id", "no", "n", "before")], *[F.col(c).alias(f"l_{c}") for c in ("id", "no", "n", "before")])
+    late = lambda rows, lead: rows.select(*[F.col(f"{lead}.{c}").alias(f"e_{c}") for c in _OF_LINE], *[F.col(c).alias(f"l_{c}") for c in _OF_LINE])
     top = met.where("salt >= 0").groupBy("key").agg(F.min("lead").alias("top"))
     pairs = stages.keep(_allowed(late(met, "lead").unionByName(late(met.join(top, "key"), "top"))), "pairs")
     found = _similar(one, pairs, classes, stages)
