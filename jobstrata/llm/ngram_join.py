@@ -294,9 +294,15 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one of each group of near copies (the one of smallest id; of rows that repeat it, one), with the columns of docs.
+    """Rows of docs, one document of each group of near copies (that of smallest id), with the columns of docs.
 
-    Rows with a null id, and texts without words, are kept."""
-    near = near_documents(docs, id_col, text_col).select(F.col(id_col).alias("_nj_id"), "component_id", "n_shingles")
+    Of rows that repeat a kept id and its text one stays. Rows with a null id, and texts without words, are kept."""
+    near = near_documents(docs, id_col, text_col).select(F.col(id_col).alias("_nj_id"), "component_id").where("_nj_id is not null")
+    near = Stages(docs.sparkSession).keep(near, "near")
     drop = near.where("_nj_id <> component_id").select("_nj_id").distinct()
-    return docs.join(drop, docs[id_col] == drop["_nj_id"], "left_anti")
+    left = docs.join(drop, docs[id_col] == drop["_nj_id"], "left_anti")
+    again = near.groupBy("_nj_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_nj_id")
+    if again.isEmpty():
+        return left
+    own = left[id_col] == again["_nj_id"]
+    return left.join(again, own, "left_anti").unionByName(left.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
