@@ -101,10 +101,10 @@ class Filters:
 
 
 def keyed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """id, label, vec (bytes of float64) and key (equal for equal vectors of one label and length). The key is null, and the
+    """id, label, vec (bytes of the components as they are given, float32 or float64) and key (equal for equal vectors of one label and length). The key is null, and the
     vector links with nothing, if the id, the label, the vector or a component is null, a component is not finite, or the
     vector is zero or empty."""
-    kind = vectors.schema[label_col].dataType
+    kind, dtype = vectors.schema[label_col].dataType, component_type(vectors, vector_col)
 
     def run(batches):
         for b in batches:
@@ -112,7 +112,7 @@ def keyed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             for i, v, label in zip(b.column("id"), b.column("v"), b.column("label")):
                 values = v.values if v.is_valid else None
                 ok = i.is_valid and label.is_valid and values is not None and len(values) > 0 and values.null_count == 0
-                x = values.to_numpy(zero_copy_only=False).astype(np.float64) if ok else None
+                x = values.to_numpy(zero_copy_only=False).astype(dtype) if ok else None
                 ok = ok and bool(np.isfinite(x).all() and (x != 0).any())
                 vecs.append(x.tobytes() if ok else None)
                 keys.append(hashlib.blake2b(repr(label.as_py()).encode() + b"\0" + vecs[-1], digest_size=16).digest() if ok else None)
@@ -122,22 +122,26 @@ def keyed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label")).mapInArrow(run, schema)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def component_type(vectors: DataFrame, vector_col: str) -> str:
+    return "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
+
+
+def _unit(column: pa.Array, dtype: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype).astype(np.float64).reshape(len(column), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _list_filters(designs):
-    """rep, copies, vec, meet (label and length), list (directions) of each class."""
+def _list_filters(designs, dtype: str):
+    """rep (number of the class), copies, vec, meet (label and length), list (directions) of each class."""
     def run(batches):
         for b in batches:
             lists: list = [None] * b.num_rows
-            lengths = np.array([len(v) // 8 for v in b.column("vec").to_pylist()])
+            lengths = np.array([len(v) // int(dtype[-1]) for v in b.column("vec").to_pylist()])
             for d in np.unique(lengths):
                 at = np.flatnonzero(lengths == d)
                 for lo in range(0, len(at), 256):
                     some = at[lo: lo + 256]
-                    for i, found in zip(some, designs.value[int(d)].listed(_unit(b.column("vec").take(pa.array(some))))):
+                    for i, found in zip(some, designs.value[int(d)].listed(_unit(b.column("vec").take(pa.array(some)), dtype))):
                         lists[i] = found
             first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
@@ -145,7 +149,7 @@ def _list_filters(designs):
     return run
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, dtype: str):
     """Links of runs of rows with equal (meet, filter, i, j): rep, links (copies linked at this filter), to (a node joined with)."""
     def run(batches):
         rest = None
@@ -153,10 +157,10 @@ def _verify(threshold: float):
             b = pa.Table.from_batches(([rest] if rest is not None else []) + [b]).combine_chunks().to_batches()[0]
             starts = _starts(b)
             if len(starts) > 1:
-                yield _links(b.slice(0, starts[-1]), starts[:-1], threshold)
+                yield _links(b.slice(0, starts[-1]), starts[:-1], threshold, dtype)
             rest = b.slice(starts[-1])
         if rest is not None and rest.num_rows:
-            yield _links(rest, _starts(rest), threshold)
+            yield _links(rest, _starts(rest), threshold, dtype)
     return run
 
 
@@ -169,7 +173,7 @@ def _starts(b: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _links(b: pa.RecordBatch, starts: np.ndarray, threshold: float) -> pa.RecordBatch:
+def _links(b: pa.RecordBatch, starts: np.ndarray, threshold: float, dtype: str) -> pa.RecordBatch:
     rep, copies, block, number = (np.array(b.column(c)) for c in ("rep", "copies", "block", "filter"))
     i, j, lists = np.array(b.column("i")), np.array(b.column("j")), b.column("list")
     at, flat = np.array(lists.offsets), np.array(lists.values)
@@ -177,7 +181,7 @@ def _links(b: pa.RecordBatch, starts: np.ndarray, threshold: float) -> pa.Record
     for lo, hi in zip(starts, np.append(starts[1:], b.num_rows)):
         if hi - lo < 2:
             continue
-        x = _unit(b.column("vec").slice(lo, hi - lo))
+        x = _unit(b.column("vec").slice(lo, hi - lo), dtype)
         near = x @ x.T >= threshold
         np.fill_diagonal(near, False)
         if i[lo] != j[lo]:
@@ -216,25 +220,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     Vectors compare only with those of their label and length. Equal vectors are linked without a comparison; rows that
     repeat an id are vectors of their own. A vector that links with nothing (see `keyed`) is its own component and kept;
     a null id has a null component and is kept."""
-    stages = Stages(vectors.sparkSession)
+    stages, dtype = Stages(vectors.sparkSession), component_type(vectors, vector_col)
     all_ = stages.keep(keyed(vectors, id_col, vector_col, label_col), "vectors")
     meet = F.xxhash64("label", F.octet_length("vec"))
-    classes = all_.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"), F.any_value(meet).alias("meet"))
+    classes = all_.where("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"), F.any_value(meet).alias("meet")).withColumn("rep", F.xxhash64("key"))
     classes = stages.keep(classes, "classes")
-    largest = (classes.groupBy("meet", (F.octet_length("vec") / 8).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("n")).groupBy("size").agg(F.max("n").alias("n"))).collect()  # one row per vector length
+    largest = (classes.groupBy("meet", (F.octet_length("vec") / int(dtype[-1])).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("n")).groupBy("size").agg(F.max("n").alias("n"))).collect()  # one row per vector length
     designs = vectors.sparkSession.sparkContext.broadcast({r["size"]: Filters.design(r["size"], r["n"], threshold) for r in largest})
-    listed = stages.keep(classes.mapInArrow(_list_filters(designs), "rep long, copies long, vec binary, meet long, list array<bigint>"), "listed")
+    listed = stages.keep(classes.mapInArrow(_list_filters(designs, dtype), "rep long, copies long, vec binary, meet long, list array<bigint>"), "listed")
     full = listed.select("meet", F.explode("list").alias("filter")).groupBy("meet", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = listed.select("*", F.explode("list").alias("filter")).join(full, ["meet", "filter"])
+    # vectors join last: what is dealt by direction to count and to split is narrow
+    rows = listed.select("rep", "meet", F.explode("list").alias("filter")).join(full, ["meet", "filter"])
     k, own = F.ceil(F.col("n") / block_rows).cast("int"), F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / block_rows)).cast("int")
     split = rows.withColumn("block", own).select("*", F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))).alias("p"))
     partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = split.select("meet", "filter", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "rep", "copies", "vec", "list").repartition(partitions, "meet", "filter", "i", "j").sortWithinPartitions("meet", "filter", "i", "j")
-    links = stages.keep(dealt.mapInArrow(_verify(threshold), "rep long, links long, to long"), "links")
+    placed = split.select("meet", "filter", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "rep").join(listed.select("rep", "copies", "vec", "list"), "rep")
+    dealt = placed.select("meet", "filter", "i", "j", "block", "rep", "copies", "vec", "list").repartition(partitions, "meet", "filter", "i", "j").sortWithinPartitions("meet", "filter", "i", "j")
+    links = stages.keep(dealt.mapInArrow(_verify(threshold, dtype), "rep long, links long, to long"), "links")
     roots = components(links.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")).distinct())
     found = links.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    per_class = stages.keep(classes.select("key", "rep", "copies").join(found, "rep", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "answers")
-    stages.drop(listed, links, classes)
+    rooted = stages.keep(classes.select("key", "rep", "low", "copies").join(found, "rep", "left").select("key", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("root")), "rooted")
+    per_class = stages.keep(rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component")), "root").select("key", "n_links", "component"), "answers")
+    stages.drop(listed, links, classes, rooted)
     out = all_.select("id", "key").join(per_class, "key", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
