@@ -30,7 +30,8 @@ from jobstrata.session import Stages
 SHINGLE = 5
 SIMILARITY = (75, 100)
 CELL_BITS = 21
-MARGIN = 16
+MARGIN = 8
+DEVIATIONS = 4
 SALTS = 16
 SIGNATURE = 8     # words of 64 parity bits
 LEADER_ROUNDS = 2
@@ -43,9 +44,9 @@ def cells_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def frequent_cells(counts: np.ndarray) -> np.ndarray:
-    """True for cells far above the mean: more than eight standard deviations of an even spread, and MARGIN."""
+    """True for cells far above the mean: more than DEVIATIONS standard deviations of an even spread, and MARGIN."""
     mean = counts.mean()
-    return counts > mean + 8 * np.sqrt(mean) + MARGIN
+    return counts > mean + DEVIATIONS * np.sqrt(mean) + MARGIN
 
 
 def set_nodes(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
