@@ -51,13 +51,15 @@ def shingles(line: Column, classes: Column) -> Column:
         h = F.xxhash64(w)
         return h.bitwiseAND(F.lit(_HASH)).bitwiseOR(F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long"), 56))
 
-    def shingle(i, coded):
-        some = F.slice(coded, i, SHINGLE)
-        return F.xxhash64(some).bitwiseAND(F.lit(_HASH)).bitwiseOR(F.array_min(some).bitwiseAND(F.lit(127 << 56)))
+    def numbered(run):
+        return F.xxhash64(run).bitwiseAND(F.lit(_HASH)).bitwiseOR(F.array_min(run).bitwiseAND(F.lit(127 << 56)))
 
-    coded = F.transform(words(line), code)
-    return F.transform(F.array(coded), lambda c: F.when(F.size(c) == 0, F.array().cast("array<bigint>")).otherwise(
-        F.sort_array(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - (SHINGLE - 1), F.lit(1))), lambda i: shingle(i, c))))))[0]
+    def of(coded):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(coded) - (SHINGLE - 1), F.lit(1))), lambda i: F.slice(coded, i, SHINGLE))
+        return F.when(F.size(coded) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(F.transform(runs, numbered))))
+
+    # through an array of one element, so that the codes of the words are computed once
+    return F.transform(F.array(F.transform(words(line), code)), of)[0]
 
 
 def _ceil_share(n: Column) -> Column:
