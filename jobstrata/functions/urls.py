@@ -4,12 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobstrata.functions.text import strip
+
 # fixed values: where a posting id sits in a url, in order of preference
 ID_PATTERNS = (r"vacancy(\d+)", r"[?&]id=(\d+)", r"/vacancies/(\d+)", r"/jobs/(\d+)")
 
 
 def _bare(url: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"^https?://(www\.)?", "")
+    return F.regexp_replace(F.lower(strip(F.coalesce(url, F.lit("")))), r"^https?://(www\.)?", "")
 
 
 def _no_slash(c: Column) -> Column:

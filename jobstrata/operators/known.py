@@ -5,19 +5,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobstrata.functions import dates, urls
-from jobstrata.functions.text import label_of, norm_company
+from jobstrata.functions.text import label_of, norm_company, strip
 
 REPOST_DUP_DAYS = 7
 
 
 def dedup_key(url: Column, title: Column, company: Column) -> Column:
-    named = F.concat(F.lower(F.trim(title)), F.lit("|"), F.lower(F.trim(company)))
+    named = F.concat(F.lower(strip(title)), F.lit("|"), F.lower(strip(company)))
     return F.when(F.coalesce(url, F.lit("")) != "", url).otherwise(named)
 
 
 def parse_pipe_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """`date | id | label` lines; only the first two pipes separate, incomplete lines are ignored."""
-    parts = F.transform(F.split(F.trim(F.col(column)), r"\|", 3), lambda p: F.trim(p))
+    parts = F.transform(F.split(strip(F.col(column)), r"\|", 3), lambda p: strip(p))
     return (lines.select(parts.alias("p")).where(F.size("p") == 3)
             .select(F.col("p")[0].alias("shown_date"), F.col("p")[1].alias("identifier"), F.col("p")[2].alias("label")))
 
@@ -28,7 +28,7 @@ def prefilter_known(cards: DataFrame, log: DataFrame | None, applied: DataFrame
     if log is not None:
         facts.append(log.select(urls.identity(F.col("identifier")).alias("_id"), F.lit(1).alias("_w")))
     if applied is not None:
-        facts.append(applied.select(urls.identity(F.nullif(F.trim("url"), F.lit(""))).alias("_id"), F.lit(2).alias("_w")))
+        facts.append(applied.select(urls.identity(F.nullif(strip(F.col("url")), F.lit(""))).alias("_id"), F.lit(2).alias("_w")))
     if not facts:
         return cards.withColumn("known", F.lit(None).cast("string"))
     keys = facts[0] if len(facts) == 1 else facts[0].unionByName(facts[1])
@@ -91,7 +91,7 @@ def application_check(cards: DataFrame, applied: DataFrame, id_col: str = "card_
 
     A duplicate is the same identity, or the same company with no url in the table or with the title in the notes; the
     first row of the table decides. The table is reduced per key before every join."""
-    rows = applied.select("row_no", "status", urls.identity(F.nullif(F.trim("url"), F.lit(""))).alias("_id"),
+    rows = applied.select("row_no", "status", urls.identity(F.nullif(strip(F.col("url")), F.lit(""))).alias("_id"),
                           F.nullif(norm_company(F.col("company")), F.lit("")).alias("_company"), norm_company(F.col("notes")).alias("_notes"))
     at = F.struct("row_no", "status")
     by_id = rows.where(F.col("_id").isNotNull()).groupBy("_id").agg(F.min(at).alias("_by_id"))

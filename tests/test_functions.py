@@ -213,3 +213,8 @@ def test_streaks_over_many_files(spark):
         streak[s] = 0 if cards else streak.get(s, 0) + 1
         want[s, us] = streak[s]
     assert got == want and hasattr(monitor, "zero_streaks")
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    row = spark.createDataFrame([(" SQL\t; Excel \n;\r\n; a b ",)], "s string").select(text.split_list(F.col("s")).alias("x"), text.yes_no(F.lit("так ")).alias("y")).first()
+    assert row.x == ["SQL", "Excel", "a b"] and row.y is True
