@@ -38,6 +38,8 @@ SHAPES = {"secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=.*[a-z])(?=.*[A-Z])(?=.
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 QUOTED = r"[\"'`(<]$"
 CONTEXT = 40
+AHEAD = 5  # matches are 8 code points long or more where context counts, so these reach CONTEXT
+PLACES = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 N_VOTES = 4
 STEPS = 50
 ACCEPT = 0.5
@@ -51,17 +53,23 @@ def located(text: Column, pattern: str, needed: str | None) -> tuple[Column, Col
 
 
 def places(hits: Column, pieces: Column) -> Column:
-    """Array of (start, end, hit, before) for matches and the pieces around them, in code points."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>").alias("done"))
+    """Array of (start, end, hit, before, after) for matches and the pieces around them, in code points.
+
+    `before` and `after` are the CONTEXT code points of the text there, whatever other matches lie in them."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(PLACES).alias("done"))
 
     def step(acc, pair):
         start = acc["at"] + F.length(pair["p"])
         end = start + F.length(pair["h"])
-        row = F.struct(start.alias("start"), end.alias("end"), pair["h"].alias("hit"), F.right(pair["p"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["done"], F.array(row)).alias("done"))
+        before = F.right(F.concat(acc["tail"], F.right(pair["p"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        near = [F.left(F.coalesce(pair[f"{c}{k}"], F.lit("")), F.lit(CONTEXT)) for k in range(1, AHEAD + 1) for c in "ph"]
+        row = F.struct(start.alias("start"), end.alias("end"), pair["h"].alias("hit"), before.alias("before"), F.left(F.concat(*near), F.lit(CONTEXT)).alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, F.right(pair["h"], F.lit(CONTEXT))), F.lit(CONTEXT)).alias("tail"), F.concat(acc["done"], F.array(row)).alias("done"))
 
-    pairs = F.arrays_zip(hits.alias("h"), F.slice(pieces, 1, F.size(hits)).alias("p"))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step)["done"]).otherwise(zero["done"])
+    n = F.size(hits)
+    later = [x for k in range(1, AHEAD + 1) for x in (F.slice(pieces, k + 1, n).alias(f"p{k}"), F.slice(hits, k + 1, n).alias(f"h{k}"))]
+    pairs = F.arrays_zip(hits.alias("h"), F.slice(pieces, 1, n).alias("p"), *later)
+    return F.when(n > 0, F.aggregate(pairs, zero, step)["done"]).otherwise(zero["done"])
 
 
 def _valid(kind: str, hit: Column) -> Column:
@@ -76,8 +84,8 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def _votes(kind: str, words: tuple[str, ...], c: Column) -> Column:
-    """Bits: shape, gazetteer, assignment context, quotation context."""
-    near = F.lower(c["before"])
+    """Bits: shape, gazetteer of trigger words on either side, assignment context, quotation context."""
+    near = F.lower(F.concat(c["before"], F.lit("\n"), c["after"]))
     named = reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in words])
     voters = (c["hit"].rlike(SHAPES[kind]), named, c["before"].rlike(ASSIGNED), c["before"].rlike(QUOTED))
     return reduce(lambda a, b: a + b, [F.when(v, F.lit(1 << i)).otherwise(F.lit(0)) for i, v in enumerate(voters)])
@@ -110,7 +118,7 @@ def spans(docs: DataFrame, text: str) -> DataFrame:
     every = [(f"b{k}", p, need) for k, (_, p, need) in enumerate(BASE)] + [(f"c{k}", p, None) for k, (_, p, _) in enumerate(CANDIDATES)]
     found = {name: located(t, p, need) for name, p, need in every}
     df = df.withColumns({f"_pii_h{n}": h for n, (h, _) in found.items()})
-    df = df.withColumns({f"_pii_{n}": F.when(F.size(f"_pii_h{n}") > 0, places(F.col(f"_pii_h{n}"), pieces)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,before:string>>")) for n, (_, pieces) in found.items()})
+    df = df.withColumns({f"_pii_{n}": F.when(F.size(f"_pii_h{n}") > 0, places(F.col(f"_pii_h{n}"), pieces)).otherwise(F.array().cast(PLACES)) for n, (_, pieces) in found.items()})
     df = df.withColumn("_pii_base", F.concat(*[_base_spans(k, kind) for k, (kind, _, _) in enumerate(BASE)]))
     taken = F.transform("_pii_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
     more = F.concat(*[_coded(k, kind, words, taken) for k, (kind, _, words) in enumerate(CANDIDATES)])
@@ -144,7 +152,7 @@ def estimate(counts: dict[int, int]) -> dict[int, float]:
 def train(counts: dict[int, int]) -> set[int]:
     """Codes that the span classifier accepts: naive Bayes over votes, length and digits, trained on the estimates.
 
-    A span without two votes is never accepted."""
+    A span without any vote is never accepted."""
     votes: dict[int, int] = {}
     for code, n in counts.items():
         votes[code // 12] = votes.get(code // 12, 0) + n
@@ -163,7 +171,7 @@ def train(counts: dict[int, int]) -> set[int]:
     accepted = set()
     for c in counts:
         odds = math.log(total[0] / total[1]) + sum(math.log(seen[f][0] / total[0]) - math.log(seen[f][1] / total[1]) for f in features(c))
-        if odds > math.log(ACCEPT / (1 - ACCEPT)) and bin(c // 12).count("1") >= 2:
+        if odds > math.log(ACCEPT / (1 - ACCEPT)) and c >= 12:
             accepted.add(c)
     return accepted
 

@@ -52,3 +52,18 @@ def test_added_spans_are_real_ones(spark, documents):
 def test_estimate_separates_votes():
     post = pii.estimate({0b0111: 50, 0b0011: 20, 0b0101: 20, 0b0000: 300, 0b1000: 30, 0b0001: 15})
     assert post[0b0111] > 0.9 and post[0] < 0.1
+
+
+def test_context_reaches_beyond_other_matches(spark, documents):
+    number = "call 555-123-4567, 555-123-4568 today"
+    table = "ssn 123-45-6789 | 123-45-6780 | 124-45-6789 end"
+    docs = documents([(i, number) for i in range(20)] + [(100 + i, table) for i in range(20)] + [(200 + i, "555-123-4567 is my phone") for i in range(20)] + [(300 + i, "part 000-00-0000 of it, 555.123-4567 too") for i in range(60)])
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert got[0] == "national_phone:5:17,national_phone:19:31"
+    assert got[100] == "social_number:4:15,social_number:18:29,social_number:32:43"
+    assert got[200] == "national_phone:0:12" and got[300] == ""
+
+
+def test_the_classifier_decides_on_one_vote():
+    shape = {0b0011 * 12 + 4: 500, 0b0001 * 12 + 4: 100, 0b0000 * 12 + 1: 900}
+    assert pii.train(shape) == {0b0011 * 12 + 4, 0b0001 * 12 + 4}
