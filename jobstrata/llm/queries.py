@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobstrata.llm import chat, decontaminate, lines, ngram_join, passages, pieces, pii, quality, vectors, warc
+from jobstrata.llm import chat, decontaminate, infill, lines, ngram_join, passages, pieces, pii, quality, vectors, warc
 
 #: where the public tokenizer models lie; never copied into the repository
 TOKENIZERS = "/opt/tokenizers"
@@ -57,8 +57,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repeated_passages, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repeated_passages, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece, op10_line_dedup, op11_fill_in_middle)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,4 +112,4 @@ FROM x LEFT JOIN listed USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontaminate": WINDOWS_SQL, "op2_warc": warc.PAGES_SQL, "op5_embedding_near_duplicates": vectors.EXACT_SQL, "op7_ngram_jaccard": NEAR_DOCUMENTS_SQL, "op8_chat_format": chat.DIGEST_SQL,
-            "op10_line_dedup": REPEATED_LINES_SQL}
+            "op10_line_dedup": REPEATED_LINES_SQL, "op11_fill_in_middle": infill.DIGEST_SQL}
