@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -98,3 +99,8 @@ class Stages:
             path, _ = self._paths.pop(id(t), (None, None))
             if path:
                 delete_path(self.spark, path)
+
+    def free(self) -> None:
+        """Has the shuffle files of finished work removed now: Spark drops them when the driver's collector finds their plan unused."""
+        gc.collect()
+        self.spark._jvm.System.gc()
