@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobstrata.llm import chat, decontaminate, divergence, infill, lines, ngram_join, passages, pieces, pii, quality, vectors, warc
+from jobstrata.llm import chat, decontaminate, divergence, infill, lines, ngram_join, passages, pieces, pii, quality, suffixes, vectors, warc
 
 #: where the public tokenizer models lie; never copied into the repository
 TOKENIZERS = "/opt/tokenizers"
@@ -65,8 +65,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repeated_passages, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece, op10_line_dedup, op11_fill_in_middle, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_warc, op3_repeated_passages, op4_quality, op5_embedding_near_duplicates, op6_personal_data, op7_ngram_jaccard, op8_chat_format, op9_sentencepiece, op10_line_dedup, op11_fill_in_middle, op12_source_divergence, op13_suffix_dedup)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,4 +120,4 @@ FROM x LEFT JOIN listed USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontaminate": WINDOWS_SQL, "op2_warc": warc.PAGES_SQL, "op5_embedding_near_duplicates": vectors.EXACT_SQL, "op7_ngram_jaccard": NEAR_DOCUMENTS_SQL, "op8_chat_format": chat.DIGEST_SQL,
-            "op10_line_dedup": REPEATED_LINES_SQL, "op11_fill_in_middle": infill.DIGEST_SQL, "op12_source_divergence": divergence.DIVERGENCE_SQL}
+            "op10_line_dedup": REPEATED_LINES_SQL, "op11_fill_in_middle": infill.DIGEST_SQL, "op12_source_divergence": divergence.DIVERGENCE_SQL, "op13_suffix_dedup": suffixes.DIGEST_SQL}
