@@ -123,10 +123,15 @@ class _Dealer:
         return self.upto[at], many
 
 
+def _filled(run: np.ndarray) -> np.ndarray:
+    """Which bytes of record rows belong to the records."""
+    return np.arange(WIDTH) < (run + SPAN - 1)[:, None]
+
+
 def _record_rows(data: np.ndarray, lo: np.ndarray, run: np.ndarray) -> np.ndarray:
     """The bytes of each record, zeros behind them."""
     rows = sliding_window_view(np.concatenate([data, np.zeros(WIDTH, np.uint8)]), WIDTH)[lo]
-    rows *= np.arange(WIDTH) < (run + SPAN - 1)[:, None]
+    rows *= _filled(run)
     return rows
 
 
@@ -183,7 +188,7 @@ def _blocks(borders):
             one = first[used[np.argsort(seen)]]
             texts, at = np.unique(text[mine], return_inverse=True)
             steps = np.diff(rank[which], prepend=0).astype("<i4")
-            yield int(range_[mine[0]]), _packed([ids[texts], keys[texts], rows[one], run[one].astype("u1"), off[one].astype("u1"), steps, at.astype("<u4"), place[mine].astype("<u4")])
+            yield int(range_[mine[0]]), _packed([ids[texts], keys[texts], rows[one][_filled(run[one])], run[one].astype("u1"), off[one].astype("u1"), steps, at.astype("<u4"), place[mine].astype("<u4")])
 
     def run(batches):
         dealer = _Dealer(borders.value)
@@ -256,8 +261,11 @@ def _spans_of_range(blocks: list[bytes]) -> pa.RecordBatch:
     """id, key, spans (pairs of places) of the texts whose strings of one range also stand in a document of smaller id."""
     parts, texts, records = [], 0, 0
     for block in blocks:
-        ids, keys, rows, run, off, steps, text, place = _unpacked(block, _KINDS)
-        parts.append((ids, keys, rows.reshape(-1, WIDTH), run.astype(np.int64), off.astype(np.int64), np.cumsum(steps, dtype=np.int64) + records, text + np.int64(texts), place.astype(np.int64)))
+        ids, keys, data, run, off, steps, text, place = _unpacked(block, _KINDS)
+        run = run.astype(np.int64)
+        rows = np.zeros((len(run), WIDTH), np.uint8)
+        rows[_filled(run)] = data
+        parts.append((ids, keys, rows, run, off.astype(np.int64), np.cumsum(steps, dtype=np.int64) + records, text + np.int64(texts), place.astype(np.int64)))
         texts, records = texts + len(ids), records + len(run)
     ids, keys, rows, run, off, record, text, place = (np.concatenate(c) for c in zip(*parts))
     # the token of a record; only those that several documents have go on
@@ -320,7 +328,6 @@ def repeated_spans(docs: DataFrame, stages: Stages) -> DataFrame:
     borders = spark.sparkContext.broadcast(splitters(docs, partitions * RANGES))  # as many as ranges
     dealt = docs.mapInArrow(_blocks(borders), "range int, block binary").repartitionById(partitions, F.floor(F.col("range") / RANGES).cast("int")).sortWithinPartitions("range")
     found = stages.keep(dealt.mapInArrow(_resolved, "id long, key long, spans binary"), "spans")
-    stages.free()
     return found.groupBy("id", "key").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -341,6 +348,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own text. Extra columns play no part."""
     stages = Stages(docs.sparkSession)
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # the key tells texts of one id apart; where every id has one text it would only take room in the blocks
+    if one.where("id is not null").groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").isEmpty():
+        one = one.withColumn("key", F.lit(0).cast("long"))
     spans = repeated_spans(one.where("id is not null and text is not null"), stages)
 
     def cut(batches):
