@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -75,8 +74,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return _written(df, scratch_path(df.sparkSession, name))
 
 
+#: shuffle files of a finished execution go at once instead of when the driver's collector finds their plan unused
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    """The table is read from now on, so what was shuffled to make it is of no more use."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,8 +109,3 @@ class Stages:
             path, _ = self._paths.pop(id(t), (None, None))
             if path:
                 delete_path(self.spark, path)
-
-    def free(self) -> None:
-        """Has the shuffle files of finished work removed now: Spark drops them when the driver's collector finds their plan unused."""
-        gc.collect()
-        self.spark._jvm.System.gc()
