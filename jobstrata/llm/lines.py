@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobstrata.llm.rows import row_key
 from jobstrata.session import Stages
 
 SHINGLE = 5
@@ -26,7 +27,8 @@ COMMON = 48       # class from which the lines of a key are dealt out by salts
 SALTS = 16
 BLANKS = "[ \\t\\u000B\\f\\r]+"
 _HASH = (1 << 56) - 1
-_OF_LINE = ("id", "no", "n", "before", "bits")
+_LINE = ["id", "key", "no"]   # key: see row_key
+_OF_LINE = ("id", "key", "no", "n", "before", "bits")
 
 
 def words(text: Column, separators: str = BLANKS) -> Column:
@@ -73,90 +75,107 @@ def _least_shared(a: Column, b: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return docs.select("id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+
+
+_PAIR = [f"{s}_{c}" for s in "el" for c in _LINE]
 
 
 def _allowed(rows: DataFrame) -> DataFrame:
-    """Distinct pairs of (id, no), the earlier one first, that sizes, places and bits allow; rows: e_* and l_* of both lines."""
+    """Distinct pairs of lines, the earlier one first, that sizes, places and bits allow; rows: e_* and l_* of both lines."""
     num, den = SIMILARITY
     sizes = F.least("e_n", "l_n") * den >= F.greatest("e_n", "l_n") * num
     rest = F.least(F.col("e_n") - F.col("e_before"), F.col("l_n") - F.col("l_before")) >= _least_shared(F.col("e_n"), F.col("l_n"))
     differ = F.bit_count(F.col("e_bits").bitwiseXOR(F.col("l_bits")))
     rest &= F.col("e_n") + F.col("l_n") - differ >= 2 * _least_shared(F.col("e_n"), F.col("l_n"))
     earlier = (F.col("e_id") < F.col("l_id")) | ((F.col("e_id") == F.col("l_id")) & (F.col("e_no") < F.col("l_no")))
-    return rows.where(sizes & rest & earlier).select("e_id", "e_no", "l_id", "l_no").distinct()
+    return rows.where(sizes & rest & earlier).select(*_PAIR).distinct()
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in _OF_LINE])
-
+    return rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in _OF_LINE])
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, no (from 0) of every line similar to an earlier one.
 
-    Lines are split at line breaks; those without words are never removed. Rows that repeat an id count as one document, so
-    lines at the same place of them are neither earlier nor later. Null texts and ids have no lines."""
-    stages = Stages(docs.sparkSession)
-    one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+def _repeated(one: DataFrame) -> DataFrame:
+    """id, key, no (from 0) of every line similar to an earlier one; one: id, key, text without nulls."""
+    stages = Stages(one.sparkSession)
     classes = rarity(one, "text")
 
     plain = F.array_join(words(F.col("line")), " ")
-    keyed = _lines(one).select("id", "no", plain.alias("line")).where("line <> ''").select("id", "no", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
+    keyed = _lines(one).select(*_LINE, plain.alias("line")).where("line <> ''").select(*_LINE, F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(1)).alias("k2"))
     keyed = stages.keep(keyed, "lines")
     first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    equal = stages.keep(keyed.join(first, ["k1", "k2"]).where(F.struct("id", "no") > F.col("first")).select("id", "no").distinct(), "equal")
+    equal = stages.keep(keyed.join(first, ["k1", "k2"]).where(F.struct("id", "no") > F.col("first")).select(*_LINE).distinct(), "equal")
 
-    tokens = _lines(one).select("id", "no", shingles(F.col("line"), classes).alias("t")).select("id", "no", "t", F.size("t").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits")).where("n > 0")
-    posted = tokens.select("id", "no", "n", "bits", F.posexplode(F.slice("t", 1, F.col("n") - _ceil_share(F.col("n")) + 1)).alias("before", "key"))
-    posted = posted.withColumn("salt", F.when(F.shiftright("key", 56) >= COMMON, F.pmod("id", F.lit(SALTS)).cast("int")).otherwise(-1))
-    w = Window.partitionBy("key", "salt").orderBy("id", "no")
+    tokens = _lines(one).select(*_LINE, shingles(F.col("line"), classes).alias("t")).select(*_LINE, "t", F.size("t").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits")).where("n > 0")
+    posted = tokens.select(*_LINE, "n", "bits", F.posexplode(F.slice("t", 1, F.col("n") - _ceil_share(F.col("n")) + 1)).alias("before", "token"))
+    posted = posted.withColumn("salt", F.when(F.shiftright("token", 56) >= COMMON, F.pmod("id", F.lit(SALTS)).cast("int")).otherwise(-1))
+    w = Window.partitionBy("token", "salt").orderBy("id", "no", "key")
     lead = F.first(F.struct(*_OF_LINE)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = posted.withColumn("lead", lead).withColumn("next", F.lead("id").over(w)).where("salt >= 0 or next is not null or lead.id <> id or lead.no <> no").drop("next")
-    met = stages.keep(met.join(equal, ["id", "no"], "left_anti"), "met")
+    met = posted.withColumn("lead", lead).withColumn("next", F.lead("id").over(w)).where("salt >= 0 or next is not null or lead.id <> id or lead.no <> no or lead.key <> key").drop("next")
+    met = stages.keep(met.join(equal, _LINE, "left_anti"), "met")
 
     late = lambda rows, lead: rows.select(*[F.col(f"{lead}.{c}").alias(f"e_{c}") for c in _OF_LINE], *[F.col(c).alias(f"l_{c}") for c in _OF_LINE])
-    top = met.where("salt >= 0").groupBy("key").agg(F.min("lead").alias("top"))
-    pairs = stages.keep(_allowed(late(met, "lead").unionByName(late(met.join(top, "key"), "top"))), "pairs")
+    top = met.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("top"))
+    pairs = stages.keep(_allowed(late(met, "lead").unionByName(late(met.join(top, "token"), "top"))), "pairs")
     found = _similar(one, pairs, classes, stages)
-    open_ = met.join(found.select(F.col("l_id").alias("id"), F.col("l_no").alias("no")).distinct(), ["id", "no"], "left_anti")
-    rest = _allowed(_side(met, "e").join(_side(open_, "l"), "key")).join(pairs, ["e_id", "e_no", "l_id", "l_no"], "left_anti")
+    open_ = met.join(found.select(*[F.col(f"l_{c}").alias(c) for c in _LINE]).distinct(), _LINE, "left_anti")
+    rest = _allowed(_side(met, "e").join(_side(open_, "l"), "token")).join(pairs, _PAIR, "left_anti")
     more = _similar(one, stages.keep(rest, "pairs"), classes, stages)
-    near = found.unionByName(more).select(F.col("l_id").alias("id"), F.col("l_no").alias("no"))
+    near = found.unionByName(more).select(*[F.col(f"l_{c}").alias(c) for c in _LINE])
     out = stages.keep(near.unionByName(equal).distinct(), "repeated")
     stages.drop(keyed, equal, met, pairs)
-    return out.select(F.col("id").alias(id_col), "no")
+    return out
+
+
+def _texts(docs: DataFrame, key: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, no (from 0) of every line similar to an earlier one.
+
+    Lines are split at line breaks; those without words are never removed. Rows that repeat an id count as one document, so
+    lines at the same place of them are neither earlier nor later. Null texts and ids have no lines."""
+    return _repeated(_texts(docs, row_key(docs, id_col, text_col), id_col, text_col)).select(F.col("id").alias(id_col), "no").distinct()
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, classes: Column, stages: Stages) -> DataFrame:
     """Pairs whose whole sets are similar enough; the lines are read again from the documents that have them."""
     num, den = SIMILARITY
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("e_id").alias("id"), F.col("e_no").alias("no")), F.struct(F.col("l_id").alias("id"), F.col("l_no").alias("no")))).alias("p")).select("p.id", "p.no").distinct()
-    wanted = ends.groupBy("id").agg(F.collect_set("no").alias("numbers"))  # of one document
-    sets = docs.join(wanted, "id").select("id", "numbers", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("array_contains(numbers, no)")
-    sets = stages.keep(sets.select("id", "no", shingles(F.col("line"), classes).alias("t")), "sets")
-    side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.col("no").alias(f"{s}_no"), F.col("t").alias(f"{s}_t"))
-    both = pairs.join(side("l"), ["l_id", "l_no"]).join(side("e"), ["e_id", "e_no"])
+    end = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in _LINE])
+    ends = pairs.select(F.explode(F.array(end("e"), end("l"))).alias("p")).select("p.*").distinct()
+    wanted = ends.groupBy("id", "key").agg(F.collect_set("no").alias("numbers"))  # of one document
+    sets = docs.join(wanted, ["id", "key"]).select("id", "key", "numbers", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("array_contains(numbers, no)")
+    sets = stages.keep(sets.select(*_LINE, shingles(F.col("line"), classes).alias("t")), "sets")
+    side = lambda s: sets.select(*[F.col(c).alias(f"{s}_{c}") for c in _LINE], F.col("t").alias(f"{s}_t"))
+    both = pairs.join(side("l"), [f"l_{c}" for c in _LINE]).join(side("e"), [f"e_{c}" for c in _LINE])
     shared = F.size(F.array_intersect("e_t", "l_t"))
-    out = stages.keep(both.where(shared * den >= num * (F.size("e_t") + F.size("l_t") - shared)).select("e_id", "e_no", "l_id", "l_no"), "similar")
+    out = stages.keep(both.where(shared * den >= num * (F.size("e_t") + F.size("l_t") - shared)).select(*_PAIR), "similar")
     stages.drop(sets)
     return out
 
 
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _ln_gone: the numbers of the removed lines of a row, null where none is."""
+    key = row_key(docs, id_col, text_col)
+    gone = _repeated(_texts(docs, key, id_col, text_col)).groupBy(F.col("id").alias("_ln_id"), F.col("key").alias("_ln_key")).agg(F.sort_array(F.collect_set("no")).alias("_ln_gone"))
+    return docs.join(gone, (docs[id_col] == gone["_ln_id"]) & (key == gone["_ln_key"]), "left")
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_lines, n_removed, removed (numbers of the removed lines, ascending)."""
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col(id_col).alias("_ln_id")).agg(F.sort_array(F.collect_list("no")).alias("removed"))
-    rows = docs.select(F.col(id_col), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("_ln_n"))
-    out = rows.join(gone, rows[id_col] == gone["_ln_id"], "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(id_col, F.greatest("_ln_n", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    """Per row: id, n_lines, n_removed, removed (numbers of the removed lines of this row's text, ascending)."""
+    out = _decided(docs, id_col, text_col)
+    removed = F.coalesce("_ln_gone", F.array().cast("array<int>"))
+    n_lines = F.greatest(F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(id_col, n_lines.alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines that are similar to earlier ones; a document that loses all its words goes, others stay.
 
-    Null and empty texts, and rows without an id, stay as they are."""
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col(id_col).alias("_ln_id")).agg(F.collect_list("no").alias("_ln_gone"))
+    Null and empty texts, and rows without an id, stay as they are. Rows that repeat an id each lose lines of their own text."""
     lines = F.split(text_col, "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_ln_gone", i), x)), lambda x: x.isNotNull())
-    out = docs.join(gone, docs[id_col] == gone["_ln_id"], "left").withColumn(text_col, F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    out = _decided(docs, id_col, text_col).withColumn(text_col, F.when(F.col("_ln_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     return out.where(F.col("_ln_gone").isNull() | F.col(text_col).rlike("[^ \\t\\n\\u000B\\f\\r]")).select(*[f"`{c}`" for c in docs.columns])

@@ -33,9 +33,9 @@ CELL_BITS = 21
 MARGIN = 8
 DEVIATIONS = 4
 SALTS = 16
-SIGNATURE = 8     # words of 64 parity bits
+SIGNATURE = 32    # words of 64 parity bits
 LEADER_ROUNDS = 2
-LARGE_KEY = 1000
+LARGE_KEY = 100
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,9 +94,9 @@ def parities(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _described(size: int):
-    """id, node, n, head (upper halves of the smallest quarter of hashes) and signature of each document; the task's cell
+    """id, key, node, n, head (upper halves of the smallest quarter of hashes) and signature of each document; the task's cell
     counts as a row of `sums`."""
-    names = ["id", "node", "n", "head", "sums"] + [f"s{i}" for i in range(SIGNATURE)]
+    names = ["id", "key", "node", "n", "head", "sums"] + [f"s{i}" for i in range(SIGNATURE)]
 
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, np.int64)
@@ -105,8 +105,8 @@ def _described(size: int):
             counts += np.bincount(cells_of(tokens), minlength=1 << CELL_BITS)
             n, upper = np.diff(first), (tokens >> np.uint64(32)).astype(np.uint32)
             heads = [upper[a: a + (k + 3) // 4].tobytes() for a, k in zip(first, n)]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.array(heads, pa.binary()), pa.nulls(len(n), pa.binary()), *map(pa.array, np.ascontiguousarray(parities(tokens, first).T))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([packed(counts)], pa.binary())] + [pa.nulls(1, pa.int64())] * SIGNATURE, names=names)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("key"), pa.array(set_nodes(tokens, first), mask=n == 0), pa.array(n), pa.array(heads, pa.binary()), pa.nulls(len(n), pa.binary()), *map(pa.array, np.ascontiguousarray(parities(tokens, first).T))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.binary()), pa.array([packed(counts)], pa.binary())] + [pa.nulls(1, pa.int64())] * SIGNATURE, names=names)
     return run
 
 
@@ -209,16 +209,16 @@ class _Graph:
         return rows.where((F.col(x) != F.col(y)) & fits).select(way(x, y).alias("a"), way(y, x).alias("b"), way(f"{x}_n", f"{y}_n").alias("n_a"), way(f"{y}_n", f"{x}_n").alias("n_b")).distinct()
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
-        """Whole sets of the nodes of some pairs, each read from one of its documents."""
+        """Whole sets of the nodes of some pairs, each read from one of its rows; one with an id where there is one."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        size, ids = self.size, self.members.select("id", "node").join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
+        size, rows = self.size, self.members.select("id", "key", "node").join(nodes, "node").groupBy("node").agg(F.max(F.struct("id", "key")).alias("row")).select(F.col("row.id").alias("of_id"), F.col("row.key").alias("of_key")).distinct()
 
         def read(batches):
             for _, data, offsets in small_batches(batches, "text"):
                 tokens, first = shingle_sets(Words(data, offsets, NOT_SPACE), size)
                 yield pa.RecordBatch.from_arrays([pa.array(set_nodes(tokens, first)), pa.array([tokens[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], names=["node", "tokens"])
 
-        return self.stages.keep(self.docs.join(ids, "id", "left_semi").mapInArrow(read, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+        return self.stages.keep(self.docs.join(rows, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi").mapInArrow(read, "node long, tokens binary").dropDuplicates(["node"]), "sets")
 
     def compare(self, pairs: DataFrame) -> None:
         """Adds the links among the pairs not compared before."""
@@ -244,17 +244,13 @@ class _Graph:
         return self.stages.keep(rooted.join(many, "key").select("key", "salt", "node", "node_n", "node_r", "root", "size"), "open")
 
 
-def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Per row: id, n_shingles (distinct shingles; of a text of fewer words than `size`, the whole sequence is one),
-    component_id (smallest id reachable by links of Jaccard of at least `similarity`, itself included).
-
-    Null and empty texts have no shingles and link with nothing. Rows that repeat an id each get a row; equal texts are one
-    node of the graph. A null id has the component of its text's group, null if there is none."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """id, key (hash of the text), n, root (node of the group; null without shingles) of every row."""
     num, den = similarity
     spark = docs.sparkSession
     stages = Stages(spark)
-    one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = stages.keep(one.mapInArrow(_described(size), "id long, node long, n long, head binary, sums binary, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))), "described")
+    one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    described = stages.keep(one.mapInArrow(_described(size), "id long, key long, node long, n long, head binary, sums binary, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))), "described")
     members = described.where("sums is null").drop("sums")
     counts = tree_sum(described.where("sums is not null").select(F.lit(0).alias("k"), "sums"), stages).get(0, np.zeros(1 << CELL_BITS, np.int64))
     frequent = spark.sparkContext.broadcast(frequent_cells(counts))  # a table of fixed size
@@ -288,22 +284,32 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = F.col("node_n") + F.col("other_n") - unlike >= 2 * least_shared(F.col("node_n"), F.col("other_n"), num, den)
     g.compare(g.pairs(rest.join(other, "key").where(F.expr("root <> other_root and node < other") & near), "node", "other"))
 
-    rooted = members.select("id", "node").where("node is not null").join(g.roots, "node", "left").select("id", "node", F.coalesce("component", "node").alias("root"))
-    named = rooted.select("node", "root").distinct().join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
-    out = members.select("id", "node", "n").join(named, "node", "left")
+    return members.select("id", "key", "node", "n").join(g.roots, "node", "left").select("id", "key", "n", F.coalesce("component", "node").alias("root"))
+
+
+def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Per row: id, n_shingles (distinct shingles; of a text of fewer words than `size`, the whole sequence is one),
+    component_id (smallest id reachable by links of Jaccard of at least `similarity`, itself included).
+
+    Null and empty texts have no shingles and link with nothing. Rows that repeat an id each get a row, by their own text; equal
+    texts are one node of the graph. A null id has the component of its text's group, null if no id is in it; texts without
+    an id link others like any."""
+    rows = Stages(docs.sparkSession).keep(_grouped(docs, id_col, text_col, size, similarity), "grouped")
+    named = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    out = rows.join(named, "root", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one document of each group of near copies (that of smallest id), with the columns of docs.
-
-    Of rows that repeat a kept id and its text one stays. Rows with a null id, and texts without words, are kept."""
-    near = near_documents(docs, id_col, text_col).select(F.col(id_col).alias("_nj_id"), "component_id").where("_nj_id is not null")
-    near = Stages(docs.sparkSession).keep(near, "near")
-    drop = near.where("_nj_id <> component_id").select("_nj_id").distinct()
-    left = docs.join(drop, docs[id_col] == drop["_nj_id"], "left_anti")
-    again = near.groupBy("_nj_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_nj_id")
+    """Rows of docs, one row of each group of near copies (that of smallest id), with the columns of docs.
+
+    Of rows that repeat an id each is judged by its own text; of those that repeat a kept id and its text one stays. Rows with a null id, and texts without words, are kept."""
+    rows = Stages(docs.sparkSession).keep(_grouped(docs, id_col, text_col, SHINGLE, SIMILARITY).where("id is not null"), "grouped")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
+    drop = rows.join(first, "root").where(F.struct("id", "key") != F.col("first")).select(F.col("id").alias("_nj_id"), F.col("key").alias("_nj_key")).distinct()
+    own = lambda table: (docs[id_col] == table["_nj_id"]) & (F.xxhash64(docs[text_col]) == table["_nj_key"])
+    left = docs.join(drop, own(drop), "left_anti")
+    again = rows.groupBy(F.col("id").alias("_nj_id"), F.col("key").alias("_nj_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_nj_id", "_nj_key")
     if again.isEmpty():
         return left
-    own = left[id_col] == again["_nj_id"]
-    return left.join(again, own, "left_anti").unionByName(left.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
+    return left.join(again, own(again), "left_anti").unionByName(left.join(again, own(again), "left_semi").dropDuplicates([id_col, text_col]))

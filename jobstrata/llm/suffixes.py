@@ -19,6 +19,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobstrata.llm.rows import row_key
 from jobstrata.llm.words import CHUNK_BYTES, mix, small_batches
 from jobstrata.session import Stages
 
@@ -347,10 +348,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole and takes nothing from others. Rows that repeat an id take nothing from each other and are each judged by their
     own text. Extra columns play no part."""
     stages = Stages(docs.sparkSession)
-    one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    # the key tells texts of one id apart; where every id has one text it would only take room in the blocks
-    if one.where("id is not null").groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").isEmpty():
-        one = one.withColumn("key", F.lit(0).cast("long"))
+    one = docs.select(F.col(id_col).cast("long").alias("id"), row_key(docs, id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     spans = repeated_spans(one.where("id is not null and text is not null"), stages)
 
     def cut(batches):

@@ -92,6 +92,8 @@ class Filters:
                 low, high = (cut, high) if cut < 0.05 or np.mean([len(a) for a in code.listed(x[:100])]) > LIST else (low, cut)
             codes.append(Code(rotation, tuple(words), high))
             met |= [len(np.intersect1d(a, b)) > 0 for a, b in zip(codes[-1].listed(x), codes[-1].listed(y))]
+        if met.mean() < RECALL:
+            raise ValueError(f"{MAX_CODES} codes find {met.mean():.3f} of the pairs at the threshold, not {RECALL}; raise MAX_CODES or LIST")
         return Filters(tuple(codes), per_block ** blocks)
 
     def listed(self, unit: np.ndarray) -> list[np.ndarray]:

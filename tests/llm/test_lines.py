@@ -56,3 +56,12 @@ def test_against_brute_force(spark, documents, monkeypatch):
         left = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want)
         assert kept.get(i, "gone") == left or (i not in kept and not left.strip() and any(j == i for j, _ in want))
     assert L.repeated_lines(documents([])).count() == 0
+
+
+def test_rows_of_one_id_lose_lines_of_their_own(spark, documents):
+    line, other = "a line of several words that stands twice", "quite another line that stands only once here"
+    rows = [(1, line), (2, line), (2, other), (2, other + "\n" + line)]
+    report = sorted((r.doc_id, r.n_lines, r.removed) for r in L.line_report(documents(rows)).collect())
+    assert report == [(1, 1, []), (2, 1, []), (2, 1, [0]), (2, 2, [1])]
+    left = sorted((r.doc_id, r.text) for r in L.without_repeated_lines(documents(rows)).collect())
+    assert left == [(1, line), (2, other), (2, other)]

@@ -101,3 +101,22 @@ def test_prefix_keys_miss_no_pair():
         frequent = rnd.random(1 << N.CELL_BITS) < rnd.random()
         doc, key, _, _ = N.prefix_keys(np.concatenate([base, other]), np.array([0, len(base), len(base) + len(other)]), frequent, 75, 100)
         assert np.intersect1d(key[doc == 0], key[doc == 1]).size
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, documents):
+    rnd = random.Random(31)
+    base, unique = ([f"w{rnd.randrange(10 ** 6)}" for _ in range(60)] for _ in range(2))
+    near = [*base[:-1], "changed"]
+    rows = [(3, " ".join(base)), (5, " ".join(near)), (5, " ".join(unique)), (5, " ".join(unique))]
+    assert sorted((r.doc_id, r.text) for r in N.keep_one_of_each(documents(rows)).collect()) == [(3, rows[0][1]), (5, rows[2][1])]
+    got = sorted((r.doc_id, r.component_id) for r in N.near_documents(documents(rows)).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (5, 5)]
+
+
+def test_links_through_a_text_without_an_id(spark, documents):
+    rnd = random.Random(32)
+    a = [f"w{rnd.randrange(10 ** 6)}" for _ in range(60)]
+    b, c = a[6:] + [f"x{k}" for k in range(1)], a[12:] + [f"x{k}" for k in range(1)] + ["y"]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, "nothing like the others at all here")]
+    got = sorted(((r.doc_id, r.component_id) for r in N.near_documents(documents(rows)).collect()), key=repr)
+    assert got == [(1, 1), (2, 1), (None, 1), (None, None)]
