@@ -33,9 +33,9 @@ CELL_BITS = 21
 MARGIN = 8
 DEVIATIONS = 4
 SALTS = 16
-SIGNATURE = 32    # words of 64 parity bits
+SIGNATURE = 8     # words of 64 parity bits
 LEADER_ROUNDS = 2
-LARGE_KEY = 100
+LARGE_KEY = 1000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -238,10 +238,13 @@ class _Graph:
         return self.members.where("node is not null").groupBy("node").agg(F.first("head").alias("head"))
 
     def open_keys(self, candidates: DataFrame) -> DataFrame:
-        """Rows of the candidates whose key still has several components: key, salt, node, node_n, node_r, root, size."""
+        """Rows of the candidates whose key still has several components: key, salt, node, node_n, node_r, root, size.
+
+        Of keys with the same nodes one is enough; where a pair meets first is then unknown, so no token counts as before it."""
         rooted = candidates.join(self.roots.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        many = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-        return self.stages.keep(rooted.join(many, "key").select("key", "salt", "node", "node_n", "node_r", "root", "size"), "open")
+        of_key = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(2)]]
+        many = rooted.groupBy("key").agg(*of_key).where("lo <> hi").groupBy("size", "h0", "h1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("alike"))
+        return self.stages.keep(rooted.join(many, "key").select("key", "salt", "node", "node_n", F.when(F.col("alike") > 1, 0).otherwise(F.col("node_r")).alias("node_r"), "root", "size"), "open")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
