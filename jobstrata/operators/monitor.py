@@ -139,7 +139,8 @@ def run_ledger(posts: DataFrame, group: str) -> DataFrame:
     """Collection totals per run; more than 2 % unclassified posts make it partial."""
     n = F.col("posts")
     d = posts.groupBy(group).agg(F.count(F.lit(1)).alias("posts"), F.count_if("classified").alias("classified_posts"), F.count_if(F.col("classified") & F.col("is_vacancy")).alias("vacancy_posts"),
-                                 F.sum("cost").alias("_cost"), F.array_join(F.array_sort(F.collect_set("channel")), "; ").alias("channels"))
+                                 # whole micro-dollars: a sum of doubles would depend on the order of the rows
+                                 (F.sum(F.round(F.col("cost") * 1_000_000).cast("long")) / F.lit(1_000_000.0)).alias("_cost"), F.array_join(F.array_sort(F.collect_set("channel")), "; ").alias("channels"))
     lost = n - F.col("classified_posts")
     return d.select(group, "posts", "classified_posts", lost.alias("unclassified_posts"), "vacancy_posts", "channels", half_even(F.col("_cost"), 4).alias("cost_usd"),
                     half_even(F.col("_cost") / n, 6).alias("cost_per_post_usd"), half_even(1000 * F.col("_cost") / n, 3).alias("cost_per_1000_posts_usd"),

@@ -17,8 +17,10 @@ IMPUTE_DAYS, GAP_DAYS = 3, 30
 
 
 def mentions(spark, sf):
-    """The mentions with their keys, joined and normalised once: the operators below pass over them several times."""
-    return cut_lineage(dedup.with_keys(view(spark, sf, "mentions")))
+    """The mentions with their keys, joined and normalised once: the operators below pass over them several times.
+
+    They are dealt out by post, which no key of the data can make uneven, before the patterns of the keys run."""
+    return cut_lineage(dedup.with_keys(view(spark, sf, "mentions").repartition("post_id")))
 
 
 def postings(spark, sf, fixed=True, skills=False):

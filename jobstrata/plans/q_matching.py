@@ -35,7 +35,7 @@ _UK = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({u}, ''
 def _pairs(fixed=False):
     return [*uniques(fixed), "cards", LOGGED,
             ("s", f"SELECT card_id AS sid, title, company, url, run_date AS day, status, {_tok('title')} AS tk, {_CK} AS ck, {_UK.format(u='url')} AS uk FROM (SELECT *, {STATUS} AS status FROM logged) WHERE status IS NOT NULL"),
-            ("f", f"SELECT (gpos, cstart) AS fid, *, CAST(first_seen AS DATE) - 30 AS lo, CAST(last_seen AS DATE) + 30 AS hi, {_tok('title')} AS tk, {_CK} AS ck, {_UK.format(u='link')} AS uk FROM uniq"),
+            ("f", f"SELECT row_number() OVER (ORDER BY gpos, cstart) AS fid, *, CAST(first_seen AS DATE) - 30 AS lo, CAST(last_seen AS DATE) + 30 AS hi, {_tok('title')} AS tk, {_CK} AS ck, {_UK.format(u='link')} AS uk FROM uniq"),
             ("prs", """SELECT sid, fid, max(lv) AS lv FROM (
   SELECT sid, fid, 3 AS lv FROM s JOIN f ON s.uk = f.uk WHERE s.uk <> ''
   UNION ALL SELECT sid, fid, CASE WHEN s.tk = f.tk THEN 2 ELSE 1 END FROM s JOIN f ON s.ck = f.ck WHERE s.ck <> '' AND s.day BETWEEN f.lo AND f.hi
