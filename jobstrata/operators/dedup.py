@@ -95,20 +95,6 @@ def assign_clusters(identified: DataFrame, gap_days: int = 30) -> DataFrame:
             .join(seg.select(*IDENTITY, "bucket", "cluster_start", "_group_pos"), [*IDENTITY, "bucket"]).drop("bucket"))
 
 
-def _mode_in(facets: Column, name: str, skip: str | None) -> Column:
-    """Mode of one attribute over (n, at, f) entries: the most frequent wins, ties go to the first seen."""
-    kept = F.filter(facets, lambda x: x["f"][name] != F.lit(skip)) if skip is not None else facets
-    values = F.array_distinct(F.transform(kept, lambda x: x["f"][name]))
-
-    def option(v: Column) -> Column:
-        mine = F.filter(kept, lambda x: x["f"][name] == v)
-        n = F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-        return F.struct((-n).alias("n"), F.array_min(F.transform(mine, lambda x: x["at"])).alias("at"), v.alias("v"))
-
-    best = F.when(F.size(facets) == 1, F.element_at(facets, 1)["f"][name]).otherwise(F.array_min(F.transform(values, option))["v"])
-    return F.coalesce(best, F.lit(skip)) if skip is not None else best
-
-
 def ranked_values(df: DataFrame, group: list[str], value: Column, order: Column) -> DataFrame:
     """(group, value) with its count and first position: the input of a mode or of a list by frequency."""
     return df.groupBy(*group, value.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_at"))
@@ -126,57 +112,67 @@ def unique_postings(mentions: DataFrame, gap_days: int = 30, impute_days: int =
                     skills: bool = True) -> DataFrame:
     """One row per unique posting; `ord` is the order in which the postings are listed.
 
-    Everything is aggregated in one pass with map-side combine, per (identity, gap-wide bucket, fact), where a fact is
-    the mention's combination of enumerated attributes or one of its skills. Cluster borders are then found among those
-    few rows, and the final aggregates reuse their partitioning by identity."""
-    rows = impute_company(mentions, impute_days, impute)
+    Mentions are aggregated map-side per (identity, gap-wide bucket, enumerated attributes), and those rows see a window that
+    gives each bucket its cluster: as many rows for an identity as the time span has buckets, times the few combinations
+    of attributes, however many mentions there are. Attributes and skills stay long tables of (cluster, value) with counts
+    until their modes and ranks are picked; skills, which are no enumeration, are counted apart."""
     gap_us = gap_days * dates.DAY_US
-    rows = (rows.withColumn("_at", F.struct("_us", "pos")).withColumn("bucket", bucket_of(F.col("_us"), gap_us))
-            .withColumn("_f", F.struct("direction", "level", "work_format", "is_it")))
-    if skills:
-        itself = F.array(F.struct(F.lit(0).alias("i"), F.col("_f").alias("f"), F.lit(None).cast("string").alias("s")))
-        named = F.transform(text.split_list(F.col("skills")), lambda s, i: F.struct((i + 1).alias("i"), F.lit(None).cast(rows.schema["_f"].dataType).alias("f"), s.alias("s")))
-        rows = rows.withColumn("_fact", F.explode(F.concat(itself, named)))
-        rows = rows.select("*", F.col("_fact.i").alias("_i"), F.col("_fact.s").alias("_skill")).withColumn("_f", F.col("_fact.f")).drop("_fact")
-    else:
-        rows = rows.withColumn("_i", F.lit(0)).withColumn("_skill", F.lit(None).cast("string"))
-    itself = F.col("_i") == 0
+    named = ["ts", "title", "channel", "company_source", "direction", "level", "work_format", "is_it", "salary_stated", "link", *(["skills"] if skills else [])]
+    rows = impute_company(mentions, impute_days, impute).select(*IDENTITY, bucket_of(F.col("_us"), gap_us).alias("bucket"), F.struct("_us", "pos").alias("_at"), *named)
+    rows = cut_lineage(rows) if skills else rows        # read twice
+    bucket, key = [*IDENTITY, "bucket"], [*IDENTITY, "cluster_start"]
+    attributes = ["direction", "level", "work_format", "is_it"]
     union_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    measures = [  # name, aggregate over the facts of mentions, how partial results merge
-        ("_lo", F.min("_us"), F.min), ("_hi", F.max("_us"), F.max), ("_first_pos", F.min("pos"), F.min),
-        ("_first_ts", F.min("ts"), F.min), ("_last_ts", F.max("ts"), F.max), ("mentions", F.count_if(itself), F.sum),
-        ("_first", F.min(F.when(itself, F.struct("_at", "title", "channel", "company_source"))), F.min),
-        ("_channels", F.collect_set(F.when(itself, F.col("channel"))), union_of),
+    measures = [  # name, aggregate over mentions, how partial results merge
+        ("_lo", F.min("_at._us"), F.min), ("_hi", F.max("_at._us"), F.max), ("_first_pos", F.min("_at.pos"), F.min),
+        ("_first_ts", F.min("ts"), F.min), ("_last_ts", F.max("ts"), F.max), ("mentions", F.count(F.lit(1)), F.sum),
+        ("_first", F.min(F.struct("_at", "title", "channel", "company_source")), F.min),
+        ("_channels", F.collect_set("channel"), union_of),
         ("_salary", F.max(F.coalesce(F.col("salary_stated"), F.lit(False))), F.max),
         ("_any_stated", F.max(F.col("company_source") == "stated"), F.max),
-        ("_link", F.min(F.when(itself & (F.coalesce(F.col("link"), F.lit("")) != ""), F.struct("_at", "link"))), F.min)]
-    fact = [("_n", F.count(F.lit(1)), F.sum), ("_seen", F.min(F.struct("_at", "_i")), F.min)]
-    part = rows.groupBy(*IDENTITY, "bucket", "_f", "_skill").agg(*[agg.alias(name) for name, agg, _ in measures + fact])
-
+        ("_link", F.min(F.when(F.coalesce(F.col("link"), F.lit("")) != "", F.struct("_at", "link"))), F.min)]
+    part = rows.groupBy(*bucket, *attributes).agg(*[agg.alias(name) for name, agg, _ in measures], F.min("_at").alias("at"))
     w = Window.partitionBy(*IDENTITY).orderBy("bucket")
     before = F.max("_hi").over(w.rangeBetween(Window.unboundedPreceding, -1))
     lo = F.min("_lo").over(w.rangeBetween(0, 0))
     part = part.withColumn("_opens", F.when(before.isNull() | (lo - before > gap_us), lo))
     part = (part.withColumn("cluster_start", F.max("_opens").over(w.rangeBetween(Window.unboundedPreceding, 0)))
             .withColumn("_group_pos", F.min("_first_pos").over(Window.partitionBy(*IDENTITY))))
-    key = [*IDENTITY, "_group_pos", "cluster_start"]
-    if skills:      # a skill's uses are added up over the buckets of its cluster; modes add up their entries themselves
-        part = part.groupBy(*key, "_f", "_skill").agg(*[merge(name).alias(name) for name, _, merge in measures + fact])
-    facets = F.collect_list(F.when(F.col("_f").isNotNull(), F.struct(F.col("_n").alias("n"), F.col("_seen").alias("at"), F.col("_f").alias("f"))))
-    ranked = F.collect_list(F.when(F.col("_skill").isNotNull(), F.struct((-F.col("_n")).alias("k"), "_seen", F.col("_skill").alias("v"))))
-    out = part.groupBy(*key).agg(*[merge(name).alias(name) for name, _, merge in measures], facets.alias("_facets"),
-                                 *([F.array_sort(ranked)["v"].alias("skills")] if skills else []))
+    part = cut_lineage(part)
+    out = part.groupBy(*key).agg(F.first("_group_pos").alias("_group_pos"), *[merge(name).alias(name) for name, _, merge in measures])
+
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in attributes])
+    long = part.select(*key, F.col("mentions").alias("n"), "at", F.explode(each).alias("e")).where("e.value is not null and e.value <> 'unspecified'")
+    counts = long.groupBy(*key, F.col("e.name").alias("name"), F.col("e.value").alias("value")).agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    # the most frequent value wins, ties go to the first seen
+    modes = counts.groupBy(*key).agg(*[F.min(F.when(F.col("name") == c, F.struct((-F.col("n")).alias("k"), "at", "value")))["value"].alias(c) for c in attributes])
+    out = _joined(out, modes, key)
+    if skills:
+        uses = rows.select(*bucket, "_at", F.posexplode(text.split_list(F.col("skills"))).alias("_i", "skill"))
+        uses = uses.groupBy(*bucket, "skill").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_at", "_i")).alias("at"))
+        ranked = _joined(uses, part.select(*bucket, "cluster_start").distinct(), bucket).groupBy(*key, "skill").agg((-F.sum("n")).alias("k"), F.min("at").alias("at"))
+        lists = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "at", "skill")))["skill"].alias("skills"))
+        out = _joined(out, lists, key)
+    known = lambda c: F.coalesce(c, F.lit("unspecified")).alias(c)
     return out.select(
         F.col("_first.title").alias("title"), F.col("_company").alias("company"),
         F.when(F.col("_any_stated"), "stated").otherwise(F.col("_first.company_source")).alias("company_source"),
         dates.day_text(F.col("_first_ts")).alias("first_seen"), dates.day_text(F.col("_last_ts")).alias("last_seen"),
         "mentions", F.array_sort("_channels").alias("channels"), F.col("_first.channel").alias("first_channel"),
-        *[_mode_in(F.col("_facets"), c, skip).alias(c) for c, skip in
-          (("direction", "unspecified"), ("level", "unspecified"), ("work_format", "unspecified"), ("is_it", None))],
-        F.col("_salary").alias("salary_stated"), *(["skills"] if skills else []),
+        known("direction"), known("level"), known("work_format"), (F.col("is_it") == "true").alias("is_it"),
+        F.col("_salary").alias("salary_stated"), *([F.coalesce("skills", F.array().cast("array<string>")).alias("skills")] if skills else []),
         F.coalesce("_link.link", F.lit("")).alias("link"), F.struct("_group_pos", "cluster_start").alias("ord"), *IDENTITY, "cluster_start")
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right; null keys count as equal."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def reclassify(uniques: DataFrame) -> DataFrame:
     """Deterministic corrections; `fix` names the rule that fired, null when none did."""
     t, d = F.lower(F.col("title")), F.col("direction")

@@ -135,3 +135,18 @@ def test_site_postings_equal_the_ordered_replay(spark):
         d = spark.createDataFrame([(r["n"], r["title"], r["company"], r["url"], r["day"], names[r["rank"]]) for r in rows], "n long, title string, company string, url string, day date, status string")
         got = board.unique_postings(d, F.col("n"), 10).collect()
         assert sorted((r["title"], r["company"], r["url"], str(r["first_day"]), str(r["day"]), board.RANK[r["status"]], r["rows"], r["superseded"]) for r in got) == board_brute_force(rows, 10)
+
+
+def test_one_unknown_company_title_of_a_third_of_all_mentions(spark):
+    """The hot identity is reduced to its buckets and attributes before any window or list sees it."""
+    n = 90_000
+    hot = F.col("id") % 3 == 0
+    d = spark.range(n).select(
+        F.when(hot, "QA").otherwise(F.concat(F.lit("Role "), (F.col("id") % 5000).cast("string"))).alias("title"), F.when(hot, None).otherwise(F.lit("Acme")).alias("company"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 900 * 86_400).alias("ts"), F.lit("ch").alias("channel"), F.lit(True).alias("is_it"), F.lit("qa").alias("direction"),
+        F.when(F.col("id") % 2 == 0, "junior").otherwise("middle").alias("level"), F.lit("remote").alias("work_format"), F.lit(False).alias("salary_stated"),
+        F.concat(F.lit("s"), (F.col("id") % 7).cast("string"), F.lit("; s"), (F.col("id") % 11).cast("string")).alias("skills"), F.lit("").alias("link"), F.struct("id").alias("pos"))
+    u = dedup.unique_postings(d, 30, 30, skills=True).where("_title = 'qa'").collect()
+    assert [(r["mentions"], r["level"], len(r["skills"]), r["company"]) for r in u] == [(n // 3, "junior", 11, "")]
+    months = dedup.unique_postings(d.where(F.dayofmonth("ts") == 1), 10, 10, skills=False).where("_title = 'qa'")
+    assert months.count() >= 9
