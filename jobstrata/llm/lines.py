@@ -115,6 +115,15 @@ def _repeated(one: DataFrame) -> DataFrame:
     met = posted.withColumn("lead", lead).withColumn("next", F.lead("id").over(w)).where("salt >= 0 or next is not null or lead.id <> id or lead.no <> no or lead.key <> key").drop("next")
     met = stages.keep(met.join(equal, _LINE, "left_anti"), "met")
 
+    # of tokens with the same lines one is enough; where a pair meets first is then unknown, so nothing counts as before it
+    of_token = [F.bit_xor(F.xxhash64(*_LINE, F.lit(k))).alias(f"h{k}") for k in range(2)]
+    one_of = met.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *of_token).groupBy("size", "h0", "h1").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("alike"))
+    before = lambda c: F.when(F.col("alike") > 1, 0).otherwise(F.col(c)).alias("before")
+    lead = F.struct(*[before("lead.before") if c == "before" else F.col(f"lead.{c}") for c in _OF_LINE]).alias("lead")
+    fewer = stages.keep(met.join(one_of.select("token", "alike"), "token").select("token", "salt", *[before(c) if c == "before" else F.col(c) for c in _OF_LINE], lead), "fewer")
+    stages.drop(met)
+    met = fewer
+
     late = lambda rows, lead: rows.select(*[F.col(f"{lead}.{c}").alias(f"e_{c}") for c in _OF_LINE], *[F.col(c).alias(f"l_{c}") for c in _OF_LINE])
     top = met.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("top"))
     pairs = stages.keep(_allowed(late(met, "lead").unionByName(late(met.join(top, "token"), "top"))), "pairs")
