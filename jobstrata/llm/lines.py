@@ -106,6 +106,7 @@ def _repeated(one: DataFrame) -> DataFrame:
     keyed = stages.keep(keyed, "lines")
     first = keyed.groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     equal = stages.keep(keyed.join(first, ["k1", "k2"]).where(F.struct("id", "no") > F.col("first")).select(*_LINE).distinct(), "equal")
+    stages.drop(keyed)
 
     tokens = _lines(one).select(*_LINE, shingles(F.col("line"), classes).alias("t")).select(*_LINE, "t", F.size("t").alias("n"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))).alias("bits")).where("n > 0")
     posted = tokens.select(*_LINE, "n", "bits", F.posexplode(F.slice("t", 1, F.col("n") - _ceil_share(F.col("n")) + 1)).alias("before", "token"))
@@ -113,7 +114,10 @@ def _repeated(one: DataFrame) -> DataFrame:
     w = Window.partitionBy("token", "salt").orderBy("id", "no", "key")
     lead = F.first(F.struct(*_OF_LINE)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = posted.withColumn("lead", lead).withColumn("next", F.lead("id").over(w)).where("salt >= 0 or next is not null or lead.id <> id or lead.no <> no or lead.key <> key").drop("next")
-    met = stages.keep(met.join(equal, _LINE, "left_anti"), "met")
+    # written before it is dealt out anew, so that the postings' shuffle files are gone by then
+    dealt = stages.keep(met, "dealt")
+    met = stages.keep(dealt.join(equal, _LINE, "left_anti"), "met")
+    stages.drop(dealt)
 
     # of tokens with the same lines one is enough; where a pair meets first is then unknown, so nothing counts as before it
     of_token = [F.bit_xor(F.xxhash64(*_LINE, F.lit(k))).alias(f"h{k}") for k in range(2)]
@@ -133,7 +137,7 @@ def _repeated(one: DataFrame) -> DataFrame:
     more = _similar(one, stages.keep(rest, "pairs"), classes, stages)
     near = found.unionByName(more).select(*[F.col(f"l_{c}").alias(c) for c in _LINE])
     out = stages.keep(near.unionByName(equal).distinct(), "repeated")
-    stages.drop(keyed, equal, met, pairs)
+    stages.drop(equal, met, pairs)
     return out
 
 
