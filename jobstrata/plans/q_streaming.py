@@ -1,6 +1,7 @@
 """Queries: streaming forms, run to completion over the given tables and compared with batch SQL."""
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobstrata.functions import dates
@@ -8,7 +9,7 @@ from jobstrata.plans.bindings import ctes, table, view
 from jobstrata.plans.q_monitor import RUNS, runs
 from jobstrata.plans.registry import query
 from jobstrata.session import scratch_path
-from jobstrata.streaming import streams
+from jobstrata.streaming import collection, commits, streams
 
 FAR = "2100-01-01 00:00:00"
 
@@ -37,6 +38,64 @@ def _(spark, sf):
     return streams.complete_channels(p, coverage).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
 
 
+SINCE = "1996-01-01 00:00:00"
+_CUTS = "SELECT max(post_id) // 3 AS p1, max(post_id) // 3 * 2 AS p2, max(post_id) // 12 AS back FROM posts"
+# a channel without a mark starts at 0, so posts are numbered from 1
+_COLLECTED = f"SELECT channel, post_id, classified FROM posts, cuts WHERE post_id > 0 AND ts >= TIMESTAMP '{SINCE}' AND NOT (channel = 'ch11' AND post_id > p2)"
+
+
+def _collect(spark, sf) -> commits.CommitLog:
+    """Three deliveries: the second misses the mark of two channels and the third makes up for it; ch11's third misses it."""
+    p = view(spark, sf, "posts").select("channel", "post_id", "ts", "classified")
+    top = p.agg(F.max("post_id")).first()[0] or 0
+    p1, p2, back = top // 3, top // 3 * 2, top // 12
+    late = F.col("channel").isin("ch03", "ch07")
+    short = F.col("ts") >= SINCE
+
+    def read(i: int, rows: DataFrame, at_start: bool = False) -> DataFrame:
+        return rows.select("channel", F.lit(i).cast("long").alias("read_id"), "post_id", "ts", F.lit(at_start).alias("at_start"), "classified")
+
+    post = F.col("post_id")
+    parts = [read(1, p.where(post <= p1), True),
+             read(2, p.where(post.between(p1 - back, p2) & (~late | ((post > p1 + back) & short)))),
+             read(3, p.where(F.when(late, post > p1 - back).when(F.col("channel") == "ch11", (post > p2 + back) & short).otherwise(post > p2 - back)))]
+    root = scratch_path(spark, "collection")
+    log = collection.collection_log(spark, f"{root}/tables", "channel string, read_id long, post_id long, ts timestamp, classified string", "channel string, post_id long, classified string")
+    registry = view(spark, sf, "channels").select(F.col("handle").alias("channel")).unionByName(spark.range(1).select(F.lit("ch99").alias("channel")))
+    write = collection.collector(log, registry, F.lit(SINCE).cast("timestamp"), lambda posts: posts.where("classified = 'False'"))
+    commits.deliver(parts, write, f"{root}/feed")
+    return log
+
+
+@query("t1_t2_collection_stream", ctes("posts", ("cuts", _CUTS), ("collected", _COLLECTED)) + "SELECT 'posts' AS part, channel, post_id FROM collected UNION ALL SELECT 'details', channel, post_id FROM collected WHERE classified = 'False'")
+def _(spark, sf):
+    log = _collect(spark, sf)
+    return log.read("posts").select(F.lit("posts").alias("part"), "channel", "post_id").unionByName(log.read("details").select(F.lit("details").alias("part"), "channel", "post_id"))
+
+
+@query("t2_k11_channel_marks", ctes("posts", ("cuts", _CUTS), ("collected", _COLLECTED)) + """SELECT CAST(batch_id AS BIGINT) AS batch_id, channel,
+  CASE WHEN channel = 'ch99' THEN 'empty' WHEN batch_id = 1 AND channel IN ('ch03', 'ch07') OR batch_id = 2 AND channel = 'ch11' THEN 'gap' ELSE 'ok' END AS status, mark
+FROM (SELECT channel, max(post_id) AS mark FROM collected GROUP BY channel UNION ALL SELECT 'ch99', NULL), (VALUES (0), (1), (2)) b(batch_id)""")
+def _(spark, sf):
+    log = _collect(spark, sf)
+    return log.read("statuses").join(log.read("marks"), "channel", "left").select("batch_id", "channel", "status", "mark")
+
+
+@query("t3_k6_shown_once", """WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events),
+s AS (SELECT user_id, event_type, min(day) AS day FROM d GROUP BY ALL UNION ALL
+  SELECT s.user_id, s.event_type, min(d.day) FROM s JOIN d ON d.user_id = s.user_id AND d.event_type = s.event_type AND d.day > s.day + 5 GROUP BY s.user_id, s.event_type)
+SELECT user_id, event_type, strftime(day, '%Y-%m-%d') AS day FROM s""")
+def _(spark, sf):
+    """Five days of expiry over four micro-batches: a repeat inside them is not shown, one after them is shown again."""
+    e = _events(spark, sf).select("user_id", "event_type", F.to_date("ts").alias("day"))
+    lo, hi = e.agg(F.min("day"), F.max("day")).first()
+    step = ((hi - lo).days if lo else 0) // 4 + 1
+    root = scratch_path(spark, "shown")
+    log = collection.shown_log(spark, f"{root}/tables", "user_id long, event_type string")
+    commits.deliver([e.where(F.floor(F.datediff("day", F.lit(lo)) / step) == i) for i in range(4)], collection.show_once(log, ["user_id", "event_type"], 5), f"{root}/feed")
+    return log.read("shown").select("user_id", "event_type", dates.day_text(F.col("day")).alias("day"))
+
+
 @query("t3_dedup_with_expiry", "SELECT user_id, event_type FROM events GROUP BY ALL")
 def _(spark, sf):
     """One micro-batch: every repeat falls inside the kept period."""
@@ -122,3 +181,20 @@ def _(spark, sf):
     d = table(spark, sf, "documents")
     broken = (F.col("doc_id") % 50 == 0) | (F.col("source") == "src3")
     return streams.source_health(d.select("source", F.when(broken, '{"title": ').otherwise(F.to_json(F.struct(F.col("doc_id").alias("id")))).alias("value")), "id long")
+
+
+@query("t10_intake_stream", """SELECT source, count(*) FILTER (NOT bad) AS cards, count(*) FILTER (bad) AS corrupt, CASE WHEN bool_and(bad) THEN 'недоступне' WHEN bool_or(bad) THEN 'ЧАСТКОВО' ELSE 'OK' END AS status,
+  coalesce(sum(doc_id) FILTER (NOT bad), 0)::BIGINT AS stored, count(*) FILTER (bad) AS dead FROM (SELECT *, source = 'src3' OR (doc_id % 50 = 0 AND source <> 'src1') AS bad FROM documents) GROUP BY source""")
+def _(spark, sf):
+    """Two deliveries; one source is broken throughout, the records of all but one other now and then."""
+    d = table(spark, sf, "documents")
+    broken = (F.col("source") == "src3") | ((F.col("doc_id") % 50 == 0) & (F.col("source") != "src1"))
+    lines = d.select("doc_id", "source", F.when(broken, '{"id": ').otherwise(F.to_json(F.struct(F.col("doc_id").alias("id")))).alias("value"))
+    half = d.agg(F.max("doc_id")).first()[0] or 0
+    root = scratch_path(spark, "intake")
+    log = collection.intake_log(spark, f"{root}/tables", "id long")
+    commits.deliver([lines.where(c).select("source", "value") for c in (F.col("doc_id") * 2 <= half, F.col("doc_id") * 2 > half)], collection.intake(log, "id long"), f"{root}/feed")
+    stored = log.read("rows").groupBy("source").agg(F.sum("id").alias("stored"))
+    dead = log.read("dead_letters").groupBy("source").agg(F.count(F.lit(1)).alias("dead"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return collection.health(log).join(stored, "source", "left").join(dead, "source", "left").select("source", "cards", "corrupt", "status", zero("stored"), zero("dead"))

@@ -56,9 +56,25 @@ def _forget(spark: SparkSession, folder: str) -> None:
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a file or folder of any file system Spark knows."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    p, fs = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, complete as soon as it exists."""
+    p, fs = _file_system(spark, path)
+    fs.create(p, True).close()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
