@@ -103,8 +103,11 @@ def _(spark, sf):
     return streams.run_to_files(streams.dedup_with_expiry(s, "ts", ["user_id", "event_type"], "60 days").select("user_id", "event_type"), "dedup_out")
 
 
-@query("t4_keyed_streaks", ctes(RUNS) + """SELECT source, epoch_us(run_ts) AS run_us, streak FROM (SELECT *, CAST(sum(CASE WHEN cards = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source, g ORDER BY run_ts) AS BIGINT) AS streak FROM (
-  SELECT *, sum(CASE WHEN cards > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY run_ts) AS g FROM runs))""")
+_STREAKS = """SELECT source, epoch_us(run_ts) AS run_us, streak FROM (SELECT *, CAST(sum(CASE WHEN cards = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source, g ORDER BY run_ts) AS BIGINT) AS streak FROM (
+  SELECT *, sum(CASE WHEN cards > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY run_ts) AS g FROM runs))"""
+
+
+@query("t4_keyed_streaks", ctes(RUNS) + _STREAKS)
 def _(spark, sf):
     r = runs(spark, sf).select("source", dates.micros(F.col("run_ts")).alias("run_us"), "cards", "status")
     lo, hi = r.agg(F.min("run_us"), F.max("run_us")).first()
@@ -113,6 +116,20 @@ def _(spark, sf):
     return streams.run_in_order(periods, streams.keyed_streaks, "streaks").select("source", "run_us", "streak")
 
 
+@query("t4_streaks_in_any_order", ctes(RUNS) + _STREAKS)
+def _(spark, sf):
+    """Runs come up to two days late in four deliveries, then two far ones that move the watermark past all others."""
+    r = runs(spark, sf).select("source", dates.micros(F.col("run_ts")).alias("run_us"), "cards", "status")
+    lo, hi = r.agg(F.min("run_us"), F.max("run_us")).first()
+    two_days = 2 * 86_400_000_000
+    came = F.col("run_us") + F.pmod(F.xxhash64("source", "run_us"), F.lit(two_days))
+    step = ((hi or 0) + two_days - (lo or 0)) // 4 + 1
+    far = [spark.createDataFrame([("~", 4_102_444_800_000_000 + i * 40_000_000_000_000, 1, "OK")], r.schema) for i in range(2)]
+    with streams.rocksdb_state(spark):
+        out = streams.run_in_order([*[r.where(F.floor((came - F.lit(lo or 0)) / step) == i) for i in range(4)], *far], lambda d: streams.streaks_in_any_order(d, "3 days"), "any_order")
+    return out.where("source <> '~'").select("source", "run_us", "streak")
+
+
 _GAPS = """SELECT user_id, event_type, count(*) AS mentions, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM (SELECT *, sum(o) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
   SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= 86400000000 THEN 0 ELSE 1 END AS o FROM events)) GROUP BY user_id, event_type, s"""
 

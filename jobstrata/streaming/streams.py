@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from jobstrata.session import scratch_path
 
@@ -101,6 +103,62 @@ def keyed_streaks(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").applyInPandasWithState(step, STREAK, "streak long, recent array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+class _InOrder(StatefulProcessor):
+    """Holds the runs of a source until the watermark has passed them and then folds them in order of time.
+
+    The state is what is not yet final (a list of runs per millisecond) and one row (streak, last seven OK counts)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "runs array<struct<run_us:long,cards:long,ok:boolean>>")
+        self.folded = handle.getValueState("folded", "streak long, recent array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for d in rows:
+            for ms, part in d.groupby(d.run_us // 1000):
+                k, new = (int(ms),), [(int(r.run_us), int(r.cards), r.status == "OK") for r in part.itertuples()]
+                held = list(self.waiting.getValue(k)[0]) if self.waiting.containsKey(k) else []
+                self.waiting.updateValue(k, (held + new,))
+                self.handle.registerTimer(int(ms))
+        yield pd.DataFrame(columns=["source", "run_us", "streak", "baseline"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        k = (int(expiredTimerInfo.getExpiryTimeInMs()),)
+        runs = sorted(tuple(r) for r in self.waiting.getValue(k)[0])
+        self.waiting.removeKey(k)
+        streak, recent = self.folded.get() if self.folded.exists() else (0, [])
+        recent, out = [int(r) for r in recent], []
+        for run_us, cards, ok in runs:
+            streak = 0 if cards > 0 else int(streak) + 1
+            out.append((key[0], run_us, streak, float(pd.Series(recent).median()) if len(recent) >= 3 else None))
+            recent = (recent + [cards])[-7:] if ok else recent
+        self.folded.update((streak, recent))
+        yield pd.DataFrame(out, columns=["source", "run_us", "streak", "baseline"])
+
+    def close(self) -> None:
+        pass
+
+
+def streaks_in_any_order(runs: DataFrame, late: str) -> DataFrame:
+    """As `keyed_streaks`, for runs that come in any order but at most `late` behind the newest; later ones are dropped.
+
+    A run is answered once the watermark has passed it. The session must use the RocksDB state store (`rocksdb_state`)."""
+    timed = runs.withColumn("_at", F.timestamp_micros("run_us")).withWatermark("_at", late)
+    return timed.groupBy("source").transformWithStateInPandas(_InOrder(), STREAK, "append", "eventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on disk and with incremental checkpoints."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def known_only(posts: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Late text of posts the (static) ledger knows."""
     return posts.join(ledger.select(*keys).distinct(), keys, "left_semi")
