@@ -1,13 +1,13 @@
 """The funnel of one run: every card leaves with exactly one decision and its reason."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobstrata.functions import dates, text
 from jobstrata.functions.numbers import budget_uah, competition_level
 from jobstrata.operators import known
-from jobstrata.operators.scale import first_k_per_group
+from jobstrata.operators.scale import first_k_per_group, running_total
 from jobstrata.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -182,15 +182,48 @@ def agreement(a: Column, b: Column) -> list[Column]:
             F.count_if(~both).alias("not_compared")]
 
 
+def _flat(evaluation: DataFrame, name: str) -> DataFrame:
+    return evaluation.select("card_id", F.struct(*[c for c in evaluation.columns if c != "card_id"]).alias(name))
+
+
+def _verdict_text(e: str, level: Column) -> Column:
+    return verdict(F.col(e).isNotNull(), F.coalesce(F.col(f"{e}.failed"), F.lit(False)), F.col(f"{e}.passes_criteria"),
+                   F.col(f"{e}.reject_code"), F.col(f"{e}.reject_reason"), level)["text"]
+
+
+def _over_first(cards: DataFrame, spending: DataFrame, budget: int, stride: int = 10_000) -> DataFrame:
+    """card_id, `_over1`, `_spent1`: calls for open cards go on, by position, while what was spent before is below the budget."""
+    cost = F.coalesce(F.col("usd_card"), F.lit(0).cast("long"))
+    d = running_total(cards.where("pre_code IS NULL").select("run_date", "card_id").join(spending.select("card_id", "usd_card"), "card_id", "left"),
+                      ["run_date"], "card_id", cost, stride, "_spent").withColumn("_over1", F.col("_spent") >= budget)
+    spent = d.where(~F.col("_over1")).groupBy("run_date").agg(F.sum(cost).alias("_spent1"))
+    return d.select("run_date", "card_id", "_over1").join(spent, "run_date", "left").select("card_id", "_over1", F.coalesce("_spent1", F.lit(0).cast("long")).alias("_spent1"))
+
+
+def _over_second(cards: DataFrame, spending: DataFrame, budget: int) -> DataFrame:
+    """card_id, `_over2` of the cards of stage two, at most as many a run as its cap: the spending goes on from stage one."""
+    before = Window.partitionBy("run_date").orderBy(level_rank(F.col("level1")), "card_id").rowsBetween(Window.unboundedPreceding, -1)
+    d = cards.where("stage2").select("run_date", "card_id", "level1", "_spent1").join(spending.select("card_id", "usd_full"), "card_id", "left")
+    spent = F.col("_spent1") + F.coalesce(F.sum(F.coalesce("usd_full", F.lit(0).cast("long"))).over(before), F.lit(0).cast("long"))
+    return d.withColumn("_over2", spent >= budget).select("card_id", "_over2")
+
+
 def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFrame, log: DataFrame | None, applied: DataFrame | None,
-           stage_two: int = STAGE2_LIMIT, undated_most: int = UNDATED_LIMIT, near_most: int = NEAR_LIMIT) -> DataFrame:
+           stage_two: int = STAGE2_LIMIT, undated_most: int = UNDATED_LIMIT, near_most: int = NEAR_LIMIT,
+           shadow: DataFrame | None = None, spending: DataFrame | None = None, budget: int | None = None) -> DataFrame:
     """cards × evaluations → one decision per card (rows out = rows in). The caps label rows of a run, they drop none.
 
-    `first` / `second`: card_id and the flattened evaluation of the card and of the full text; `texts`: card_id, full_text."""
+    `first` / `second`: card_id and the flattened evaluation of the card and of the full text; `texts`: card_id, full_text.
+    `shadow`: another evaluator's answers for the cards, for its verdict only. `spending`: card_id, usd_card, usd_full, the
+    cost of a call in whole micro-dollars (null: none); a call is made while its run has spent less than `budget`, stage
+    one by position, then stage two by level and position. Cards without a call are not evaluated and say so."""
     base = prefilter(known.prefilter_known(cards, log, applied))
-    e1 = first.select("card_id", F.struct(*[c for c in first.columns if c != "card_id"]).alias("e1"))
-    e2 = second.select("card_id", F.struct(*[c for c in second.columns if c != "card_id"]).alias("e2"))
-    j = base.join(e1, "card_id", "left").join(e2, "card_id", "left").join(texts, "card_id", "left")
+    j = base.join(_flat(first, "e1"), "card_id", "left").join(_flat(second, "e2"), "card_id", "left").join(texts, "card_id", "left")
+    if shadow is not None:
+        j = j.join(_flat(shadow, "e0"), "card_id", "left").withColumn("_shadow", _verdict_text("e0", match_level(
+            F.col("e0.match_level"), F.col("e0.score_skills"), F.col("e0.score_duties"), F.col("e0.score_expectations"), F.lit(False)))).drop("e0")
+    else:
+        j = j.withColumn("_shadow", F.lit(""))
     full = F.coalesce(F.length("full_text") > 0, F.lit(False))
     j = j.withColumn("_full", full).withColumn("level1", match_level(
         F.col("e1.match_level"), F.col("e1.score_skills"), F.col("e1.score_duties"), F.col("e1.score_expectations"), F.lit(False)))
@@ -198,17 +231,24 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
     passed1 = F.coalesce(F.col("e1.passes_criteria"), F.lit(False)) & ~F.coalesce(F.col("e1.failed"), F.lit(False))
     # read several times below: written once to the shared folder instead of recomputed
     j = cut_lineage(j.withColumn("_ranked", open_ & passed1 & F.col("level1").isin("High", "Medium")))
-    j = stage_two_cap(j, "_ranked", stage_two)
+    no = F.lit(False)
+    if spending is not None and budget is not None:
+        j = j.join(_over_first(j, spending, budget), "card_id", "left").withColumn("_over1", F.coalesce("_over1", no)).withColumn("_ranked", F.col("_ranked") & ~F.col("_over1"))
+        j = stage_two_cap(j, "_ranked", stage_two)
+        j = j.join(_over_second(j, spending, budget), "card_id", "left").withColumn("_over2", F.coalesce("_over2", no)).drop("_spent1")
+    else:
+        j = stage_two_cap(j, "_ranked", stage_two).withColumn("_over1", no).withColumn("_over2", no)
+    over = F.col("_over1") | F.col("_over2")
     # the deciding evaluation: the full text for cards that got there, the card otherwise
-    j = j.withColumn("ev", F.when(F.col("stage2"), F.col("e2")).otherwise(F.col("e1")))
+    j = j.withColumn("ev", F.when(~over, F.when(F.col("stage2"), F.col("e2")).otherwise(F.col("e1"))))
     failed = F.col("ev").isNull() | F.coalesce(F.col("ev.failed"), F.lit(False))
     passes = F.coalesce(F.col("ev.passes_criteria"), F.lit(False))
     day = dates.iso_or_null(F.col("ev.posted_date"))
     undated = F.coalesce(F.col("ev.date_undetermined"), F.lit(False)) | (F.col("ev.posted_date").isNotNull() & day.isNull())
     outside = ~undated & day.isNotNull() & ~F.datediff(F.col("run_date"), day).between(0, 1)
     near1 = F.coalesce(F.col("ev.near_miss"), F.lit(False)) & in_window(F.col("ev.posted_date"), F.col("run_date"))
-    low_gate = open_ & passed1 & (F.col("level1") == "Low")
-    state = (F.when(~open_, "pre").when(F.col("_ranked") & ~F.col("stage2"), "cap").when(failed, "failed").when(low_gate, "low")
+    low_gate = open_ & ~F.col("_over1") & passed1 & (F.col("level1") == "Low")
+    state = (F.when(~open_, "pre").when(over, "budget").when(F.col("_ranked") & ~F.col("stage2"), "cap").when(failed, "failed").when(low_gate, "low")
              .when(~passes, F.when(near1, "near").otherwise("rejected")).when(outside, "date").otherwise("final"))
     j = j.withColumn("_undated", undated).withColumn("state", state)
 
@@ -238,7 +278,7 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
     kept = first_k_per_group(near, ["run_date"], [F.desc(F.coalesce("d", F.lit(""))), F.col("card_id")], near_most, "card_id", "_near")
     j = j.join(kept.where("_near").select("card_id", "_near"), "card_id", "left")
     reason = F.coalesce(F.col("ev.reject_reason"), F.lit(""))
-    code = (F.when(F.col("s") == "pre", F.col("pre_code")).when(F.col("s") == "cap", NOT_EVALUATED["cap"][1])
+    code = (F.when(F.col("s") == "pre", F.col("pre_code")).when(F.col("s") == "cap", NOT_EVALUATED["cap"][1]).when(F.col("s") == "budget", NOT_EVALUATED["budget"][1])
             .when(F.col("s") == "failed", NOT_EVALUATED["error"][1]).when(F.col("s") == "low", "інше")
             .when((F.col("s") == "dup") | F.col("_repost"), "дубль").when(F.col("s") == "applied", "подано").when(F.col("s") == "date", "дата")
             .when(F.col("s") == "undated", "ліміт_невизначеної_дати").when(F.col("s") == "shown", "—")
@@ -246,6 +286,7 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
     level = match_level(F.col("ev.match_level"), F.col("ev.score_skills"), F.col("ev.score_duties"), F.col("ev.score_expectations"), ~F.col("_full"))
     level = F.when(F.col("cap_medium") & (level == "High"), "Medium").otherwise(level)
     detail = (F.when(F.col("s") == "pre", F.col("pre_detail")).when(F.col("s") == "cap", f"ліміт етапу 2: {stage_two}")
+              .when(F.col("s") == "budget", F.when(F.col("_over2"), "етап 2").otherwise("етап 1"))
               .when(F.col("s") == "failed", F.when(F.col("stage2"), F.when(F.col("ev").isNull(), "етап 2 без оцінки").otherwise("етап 2"))
                     .otherwise(F.when(F.col("ev").isNull(), "модель не повернула оцінку").otherwise("етап 1")))
               .when(F.col("s") == "low", "Low на етапі 1 (картка)").when(F.col("s") == "dup", "після оцінки")
@@ -253,11 +294,21 @@ def decide(cards: DataFrame, first: DataFrame, second: DataFrame, texts: DataFra
               .when(F.col("s") == "undated", "").when(F.col("_repost"), F.concat(F.lit("репост вакансії, показаної "), F.date_format("repost_date", "dd.MM"), F.lit(f" (менше {known.REPOST_DUP_DAYS} днів тому)")))
               .when(F.col("s") == "shown", F.concat(level, F.lit(" · "), F.when(F.col("_full"), "сторінка").otherwise("лише картка"))).otherwise(reason))
     result = (F.when(F.col("s") == "shown", SHOWN).when((F.col("s") == "near") & F.col("_near"), NEAR)
-              .when(F.col("s") == "cap", NOT_EVALUATED["cap"][0]).when(F.col("s") == "failed", NOT_EVALUATED["error"][0]).otherwise(REJECTED))
+              .when(F.col("s") == "cap", NOT_EVALUATED["cap"][0]).when(F.col("s") == "failed", NOT_EVALUATED["error"][0])
+              .when(F.col("s") == "budget", NOT_EVALUATED["budget"][0]).otherwise(REJECTED))
+    evaluated = ~F.col("s").isin("pre", "cap", "failed", "budget", "undated")
+    card_day = F.when((F.col("s") == "pre") & (F.col("pre_code") == "дата"), F.date_format(F.date_sub("run_date", F.col("age")), "yyyy-MM-dd"))
+    posted = F.when(evaluated, F.col("ev.posted_date")).otherwise(card_day)
+    from_card = date_source(F.lit(None).cast("string"), no, F.col("posted_raw"), no)
+    found_on = (F.when((F.col("s") == "undated") | ((F.col("s") == "shown") & F.col("_undated")), "невідома")
+                .when(evaluated, date_source(F.col("ev.posted_date"), F.col("ev.date_undetermined"), F.col("posted_raw"), F.col("_full") & F.col("stage2"))).otherwise(from_card))
+    said = F.when(F.col("_over1"), NOT_EVALUATED["budget"][0]).otherwise(_verdict_text("e1", F.col("level1")))
+    of_open = lambda c: F.when(F.col("s") == "pre", "").otherwise(c)
     body = F.coalesce(F.nullif("full_text", F.lit("")), F.concat(F.col("title"), F.lit("\n"), F.coalesce("snippet", F.lit(""))))
     flag = F.when((F.col("s") == "shown") & (F.col("_verdict") == "прапорець"), F.concat(F.lit("Компанія вже в таблиці: "), F.coalesce(F.nullif("_status", F.lit("")), F.lit("без статусу"))))
     return j.select("card_id", "run_date", "source", F.coalesce("url", F.lit("")).alias("url"), text.label_of(F.col("title"), F.col("company")).alias("label"),
                     result.alias("result"), code.alias("code"), detail.alias("detail"),
                     category(F.coalesce(F.col("ev.veteran_bonus"), F.lit(False)), text.mentions_disability(body)).alias("category"),
                     F.when(F.col("s") == "shown", level).alias("level"), F.coalesce(flag, F.lit("")).alias("company_flag"),
-                    ((F.col("s") == "shown") & F.col("_undated")).alias("undated"))
+                    ((F.col("s") == "shown") & F.col("_undated")).alias("undated"), F.coalesce(posted, F.lit("")).alias("posted_date"), found_on.alias("date_source"),
+                    of_open(said).alias("verdict"), of_open(F.col("_shadow")).alias("shadow_verdict"))

@@ -282,13 +282,21 @@ def _(spark, sf):
     return top.select("card_id", F.when(F.col("kept"), "майже").otherwise("відсіяно").alias("result"))
 
 
-DECIDED = [
+# the cost of a call in micro-dollars, and the budget of a run in the query that has one
+USD_CARD, USD_FULL, BUDGET = "(400 + card_id % 7 * 100)", "(500 + card_id % 5 * 400)", 1500
+
+
+def decided_sql(budget: int) -> list:
+  before = "coalesce(sum({}) OVER (PARTITION BY run_date ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+  return [
     "cards", "applied", "shown_log", "evaluations", KNOWN, PRE,
-    ("e1", f"SELECT pre.*, e.* EXCLUDE (card_id), NOT e.omitted AS has1, price > 200000 AS full_text, pre_code IS NULL AND NOT e.omitted AND NOT e.failed AND e.passes_criteria AS passed1, {level_sql('false')} AS level1 FROM pre JOIN evaluations e USING (card_id)"),
+    ("bg", f"SELECT *, pre_code IS NULL AND {before.format(f'CASE WHEN pre_code IS NULL THEN {USD_CARD} END', 'card_id')} >= {budget} AS over1 FROM pre"),
+    ("e1", f"SELECT pre.*, sum(CASE WHEN pre_code IS NULL AND NOT over1 THEN {USD_CARD} ELSE 0 END) OVER (PARTITION BY run_date) AS spent1, e.* EXCLUDE (card_id), NOT e.omitted AND NOT over1 AS has1, price > 200000 AS full_text, pre_code IS NULL AND NOT over1 AND NOT e.omitted AND NOT e.failed AND e.passes_criteria AS passed1, {level_sql('false')} AS level1 FROM bg pre JOIN evaluations e USING (card_id)"),
     ("rk", "SELECT *, passed1 AND level1 <> 'Low' AS ranked, row_number() OVER (PARTITION BY run_date, passed1 AND level1 <> 'Low' ORDER BY CASE level1 WHEN 'High' THEN 0 ELSE 1 END, card_id) AS rr FROM e1"),
-    ("st2", "SELECT *, ranked AND rr <= 20 AS stage2, CASE WHEN posted_date <> 'скоро' THEN CAST(posted_date AS DATE) END AS d FROM rk"),
+    ("st1", "SELECT *, ranked AND rr <= 20 AS stage2 FROM rk"),
+    ("st2", f"SELECT *, stage2 AND spent1 + {before.format(f'CASE WHEN stage2 THEN {USD_FULL} END', 'CASE WHEN stage2 THEN rr END NULLS LAST, card_id')} >= {budget} AS over2, CASE WHEN posted_date <> 'скоро' THEN CAST(posted_date AS DATE) END AS d FROM st1"),
     ("und", "SELECT *, date_undetermined OR (posted_date IS NOT NULL AND d IS NULL) AS undated FROM st2"),
-    ("st", f"""SELECT *, CASE WHEN pre_code IS NOT NULL THEN 'pre' WHEN ranked AND NOT stage2 THEN 'cap' WHEN (NOT stage2 AND NOT has1) OR failed THEN 'failed' WHEN passed1 AND level1 = 'Low' THEN 'low'
+    ("st", f"""SELECT *, CASE WHEN pre_code IS NOT NULL THEN 'pre' WHEN over1 OR over2 THEN 'budget' WHEN ranked AND NOT stage2 THEN 'cap' WHEN (NOT stage2 AND NOT has1) OR failed THEN 'failed' WHEN passed1 AND level1 = 'Low' THEN 'low'
        WHEN NOT passes_criteria THEN CASE WHEN near_miss AND ({_INW}) THEN 'near' ELSE 'rejected' END WHEN NOT undated AND d IS NOT NULL AND NOT datediff('day', d, run_date) BETWEEN 0 AND 1 THEN 'date' ELSE 'final' END AS state FROM und"""),
     ("dups", _DUP_IDS), ("app", _APPLIED), ("rep", _REPOST),
     ("oc", """SELECT st.*, app.verdict, app.status AS app_status, repost_date, CASE WHEN state <> 'final' THEN state WHEN dups.card_id IS NOT NULL THEN 'dup' WHEN verdict = 'дубль' THEN 'applied'
@@ -298,22 +306,37 @@ DECIDED = [
     ("nk", "SELECT *, row_number() OVER (PARTITION BY run_date, s ORDER BY coalesce(posted_date, '') DESC, card_id) AS nrank FROM nr"),
     ("fin", f"SELECT *, CASE WHEN cap_medium AND lv = 'High' THEN 'Medium' ELSE lv END AS flevel FROM (SELECT *, {level_sql('NOT full_text')} AS lv FROM nk)"),
     ("decided", """SELECT card_id, strftime(run_date, '%Y-%m-%d') AS run_date, source, coalesce(url, '') AS url, title || ' — ' || company AS label,
-  CASE WHEN s = 'shown' THEN 'показано' WHEN s = 'near' AND nrank <= 5 THEN 'майже' WHEN s = 'cap' THEN 'не оцінено (ліміт етапу 2)' WHEN s = 'failed' THEN 'не оцінено (помилка Claude)' ELSE 'відсіяно' END AS result,
-  CASE WHEN s = 'pre' THEN pre_code WHEN s = 'cap' THEN 'ліміт_етапу_2' WHEN s = 'failed' THEN 'помилка_Claude' WHEN s = 'low' THEN 'інше' WHEN s = 'dup' OR rp THEN 'дубль' WHEN s = 'applied' THEN 'подано' WHEN s = 'date' THEN 'дата'
+  CASE WHEN s = 'shown' THEN 'показано' WHEN s = 'near' AND nrank <= 5 THEN 'майже' WHEN s = 'cap' THEN 'не оцінено (ліміт етапу 2)' WHEN s = 'failed' THEN 'не оцінено (помилка Claude)' WHEN s = 'budget' THEN 'не оцінено (ліміт бюджету)' ELSE 'відсіяно' END AS result,
+  CASE WHEN s = 'pre' THEN pre_code WHEN s = 'cap' THEN 'ліміт_етапу_2' WHEN s = 'budget' THEN 'ліміт_бюджету' WHEN s = 'failed' THEN 'помилка_Claude' WHEN s = 'low' THEN 'інше' WHEN s = 'dup' OR rp THEN 'дубль' WHEN s = 'applied' THEN 'подано' WHEN s = 'date' THEN 'дата'
        WHEN s = 'undated' THEN 'ліміт_невизначеної_дати' WHEN s = 'shown' THEN '—' ELSE coalesce(reject_code, 'інше') END AS code,
-  CASE WHEN s = 'pre' THEN pre_detail WHEN s = 'cap' THEN 'ліміт етапу 2: 20' WHEN s = 'failed' THEN CASE WHEN stage2 THEN 'етап 2' WHEN NOT has1 THEN 'модель не повернула оцінку' ELSE 'етап 1' END WHEN s = 'low' THEN 'Low на етапі 1 (картка)'
+  CASE WHEN s = 'pre' THEN pre_detail WHEN s = 'cap' THEN 'ліміт етапу 2: 20' WHEN s = 'budget' THEN CASE WHEN over2 THEN 'етап 2' ELSE 'етап 1' END WHEN s = 'failed' THEN CASE WHEN stage2 THEN 'етап 2' WHEN NOT has1 THEN 'модель не повернула оцінку' ELSE 'етап 1' END WHEN s = 'low' THEN 'Low на етапі 1 (картка)'
        WHEN s = 'dup' THEN 'після оцінки' WHEN s = 'applied' THEN 'таблиця відгуків' WHEN s = 'date' THEN 'поза вікном сьогодні/вчора' WHEN s = 'undated' THEN ''
        WHEN rp THEN 'репост вакансії, показаної ' || strftime(repost_date, '%d.%m') || ' (менше 7 днів тому)' WHEN s = 'shown' THEN flevel || ' · ' || CASE WHEN full_text THEN 'сторінка' ELSE 'лише картка' END ELSE reject_reason END AS detail,
   CASE WHEN vet AND dis THEN 'обидві' WHEN vet THEN 'ветеран' WHEN dis THEN 'інвалідність' ELSE '—' END AS category,
   CASE WHEN s = 'shown' THEN flevel END AS level, CASE WHEN s = 'shown' AND verdict = 'прапорець' THEN 'Компанія вже в таблиці: ' || coalesce(nullif(app_status, ''), 'без статусу') ELSE '' END AS company_flag,
-  s = 'shown' AND undated AS undated
-FROM (SELECT *, veteran_bonus AND (stage2 OR has1) AS vet, contains(lower(snippet), 'people with disabilities') AS dis FROM fin)""")]
+  s = 'shown' AND undated AS undated,
+  coalesce(CASE WHEN s = 'pre' THEN CASE WHEN pre_code = 'дата' THEN strftime(run_date - age, '%Y-%m-%d') END WHEN s NOT IN ('cap', 'failed', 'budget', 'undated') THEN posted_date END, '') AS posted_date,
+  CASE WHEN s = 'undated' OR s = 'shown' AND undated THEN 'невідома' WHEN s NOT IN ('pre', 'cap', 'failed', 'budget') AND posted_date <> '' AND NOT date_undetermined THEN CASE WHEN full_text AND stage2 THEN 'сторінка' ELSE 'картка' END
+       WHEN posted_raw <> '' THEN 'картка' ELSE 'невідома' END AS date_source,
+  CASE WHEN s = 'pre' THEN '' WHEN over1 THEN 'не оцінено (ліміт бюджету)' ELSE """ + _VERDICT_TEXT + """ END AS verdict, CASE WHEN s = 'pre' THEN '' WHEN card_id % 12 = 0 THEN 'не оцінено' ELSE """ + _VERDICT_TEXT.replace("omitted", "false") + """ END AS shadow_verdict
+FROM (SELECT *, veteran_bonus AND (stage2 OR has1) AND NOT over2 AS vet, contains(lower(snippet), 'people with disabilities') AS dis FROM fin)""")]
+
+
+DECIDED = decided_sql(10 ** 15)
 
 
-def decided(spark, sf):
+def decided(spark, sf, **budget):
     cards, ev = view(spark, sf, "cards"), view(spark, sf, "evaluations")
     texts = cards.where("price > 200000").select("card_id", F.concat(F.lit("page "), "snippet").alias("full_text"))
-    return funnel.decide(cards, ev.where("NOT omitted").select(*EV), ev.select(*EV), texts, view(spark, sf, "shown_log"), view(spark, sf, "applied"))
+    return funnel.decide(cards, ev.where("NOT omitted").select(*EV), ev.select(*EV), texts, view(spark, sf, "shown_log"), view(spark, sf, "applied"),
+                         shadow=ev.where("card_id % 12 <> 0").select(*EV), **budget)
+
+
+@query("f24_w11_budget_decisions", ctes(*decided_sql(BUDGET)) + "SELECT * FROM decided")
+def _(spark, sf):
+    """A budget that most runs use up: of later cards the decision says that they were not evaluated."""
+    spending = view(spark, sf, "cards").select("card_id", F.expr(f"CAST({USD_CARD} AS BIGINT)").alias("usd_card"), F.expr(f"CAST({USD_FULL} AS BIGINT)").alias("usd_full"))
+    return decided(spark, sf, spending=spending, budget=BUDGET).withColumn("run_date", dates.day_text(F.col("run_date")))
 
 
 @query("f23_f24_j24_decisions", ctes(*DECIDED) + "SELECT * FROM decided")
