@@ -1,6 +1,8 @@
 """Queries: pages, JSON, files, grids, mails and table maintenance."""
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -235,6 +237,23 @@ def _(spark, sf):
     return records.data_rows(stored).groupBy(F.col("run_date").alias("year"), "source").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_YEARS = ("d", "SELECT *, strftime(run_date, '%Y') AS day, CASE source WHEN 'board-c' THEN 0 WHEN 'board-a' THEN 1 ELSE 2 END AS rank FROM cards")
+
+
+@query("k7_log_in_order", ctes("cards", _YEARS) + """SELECT day, run_index, row_no, source, label FROM (
+  SELECT day, row_number() OVER (PARTITION BY day ORDER BY rank, source, card_id) AS row_no, source, title AS label FROM d
+  UNION ALL SELECT day, count(*) + 1, 'ПІДСУМОК', 'знайдено ' || count(*) FROM d GROUP BY day), (VALUES (0), (1)) r(run_index)""")
+def _(spark, sf):
+    """Written twice, as by a repeated run. The label of a summary row is its text here."""
+    path = scratch_path(spark, "log")
+    c = view(spark, sf, "cards").select(F.date_format("run_date", "yyyy").alias("run_date"), "source", F.col("title").alias("label"), F.lit("показано").alias("result"),
+                                        F.lit("—").alias("code"), F.lit("").alias("detail"), "card_id")
+    for _ in range(2):
+        tables.write_log(c, ["board-c", "board-a"], path, F.concat(F.lit("знайдено "), F.count(F.lit(1)).cast("string")))
+    d = tables.read_log(spark, path)
+    return d.select(F.col("run_date").alias("day"), "run_index", "row_no", "source", F.when(F.col("result") == tables.SUMMARY, F.col("detail")).otherwise(F.col("label")).alias("label"))
+
+
 @query("f22_x25_company_names", ctes("shown_log") + r"SELECT DISTINCT part_id, supp_id, 'Supplier#' || lpad(CAST(supp_id AS STRING), 9, '0') AS company FROM shown_log")
 def _(spark, sf):
     s = view(spark, sf, "shown_log").select("part_id", "supp_id").distinct()
@@ -311,6 +330,23 @@ def _(spark, sf):
     return tables.retain(log, F.lit("2000-06-01").cast("date"), 21, new).groupBy("shown_date").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("k4_k6_stored_ledger", """SELECT strftime(run_date, '%Y-%m-%d') AS run_date, status, count(*) AS n, sum(k)::BIGINT AS keys FROM (
+  SELECT date_trunc('month', o_orderdate) AS run_date, o_orderkey AS k, CASE WHEN year(o_orderdate) = 1995 AND o_orderstatus <> 'P' THEN 'changed' ELSE o_orderstatus END AS status FROM orders
+  UNION ALL SELECT DATE '1997-02-01', -1 - c_custkey, 'new' FROM customer) WHERE run_date >= DATE '1998-08-01' - 1300 GROUP BY ALL""")
+def _(spark, sf):
+    """Rows of 1995 change, rows of one month are added, and what is older than 1300 days goes."""
+    path = scratch_path(spark, "ledger")
+    o = table(spark, sf, "orders").select(F.trunc("o_orderdate", "month").alias("run_date"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"))
+    schema = "k long, status string, run_date date"
+    tables.upsert_days(spark, path, schema, o, ["k"], "run_date")
+    changed = o.where("year(run_date) = 1995 AND status <> 'P'").withColumn("status", F.lit("changed"))
+    added = table(spark, sf, "customer").select(F.lit("1997-02-01").cast("date").alias("run_date"), (-1 - F.col("c_custkey")).alias("k"), F.lit("new").alias("status"))
+    tables.upsert_days(spark, path, schema, changed.unionByName(added), ["k"], "run_date")
+    tables.retain_days(spark, path, "run_date", date(1998, 8, 1), 1300)
+    d = spark.read.schema(schema).parquet(path)
+    return d.groupBy(dates.day_text(F.col("run_date")).alias("run_date"), "status").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"))
+
+
 @query("k8_dead_letters", """SELECT 'metrics' AS kind, repeat('x', 200) AS reason, '{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' AS row_json FROM supplier""")
 def _(spark, sf):
     return tables.dead_letters(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "metrics", F.lit("x" * 300))
