@@ -133,8 +133,10 @@ def level_buckets(uniques: DataFrame, direction: str = "analytics") -> DataFrame
         F.count_if(mine & F.col("level").isin(*MIDDLE_UP)).alias("middle_up"))
 
 
-def two_source_months(feed: DataFrame, site: DataFrame, direction: str = "analytics") -> DataFrame:
-    """Feed and site side by side per month; a month without site logs is null, not zero."""
+def two_source_months(feed: DataFrame, site: DataFrame, direction: str = "analytics", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Feed and site side by side for every calendar month from `start` to `end` (yyyy-MM; else all that either has).
+
+    A month without postings in the feed is zero, one without site logs null."""
     mine = F.col("is_it") & (F.col("direction") == direction)
     left = feed.groupBy(dates.year_month(F.col("first_seen")).alias("month")).agg(
         F.count_if(mine).alias("tg_analytics"),
@@ -144,7 +146,13 @@ def two_source_months(feed: DataFrame, site: DataFrame, direction: str = "analyt
     right = wide.groupBy(dates.year_month(F.col("day")).alias("month")).agg(
         F.count_if((F.col("direction") == direction) & strict).alias("repo_analytics_shown_applied"),
         F.count_if(F.col("direction") == direction).alias("repo_analytics_wide"), F.count(F.lit(1)).alias("repo_all_wide"))
-    return left.join(right, "month", "left")
+    # one row per month from here on
+    both = left.join(right, "month", "full")
+    first, last = (F.to_date(F.concat(F.lit(given) if given else ends, F.lit("-01"))) for given, ends in ((start, F.min("month")), (end, F.max("month"))))
+    months = both.agg(first.alias("a"), last.alias("b")).where("a <= b").select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return months.select(dates.year_month(F.col("m")).alias("month")).join(both, "month", "left").select(
+        "month", zero("tg_analytics"), zero("tg_analytics_junior_or_unspecified"), "repo_analytics_shown_applied", "repo_analytics_wide", "repo_all_wide")
 
 
 def company_sources(uniques: DataFrame) -> DataFrame:

@@ -116,10 +116,14 @@ def _(spark, sf):
     return d.select("title", "company", "first_seen", "work_format", "link", "experience", "salary_min", "salary_max", "salary_currency")
 
 
-@query("a14_two_source_months", ctes(*uniques(), "cards", LOGGED) + f"""SELECT month, tg_analytics, tg_analytics_junior_or_unspecified, repo_analytics_shown_applied, repo_analytics_wide, repo_all_wide FROM (
-  SELECT substr(first_seen, 1, 7) AS month, count(*) FILTER (is_it AND direction = 'analytics') AS tg_analytics, count(*) FILTER (is_it AND direction = 'analytics' AND level IN ('intern', 'junior', 'unspecified')) AS tg_analytics_junior_or_unspecified FROM uniq GROUP BY ALL)
-  LEFT JOIN (SELECT strftime(run_date, '%Y-%m') AS month, count(*) FILTER (d = 'analytics' AND status <> 'personal_reject') AS repo_analytics_shown_applied, count(*) FILTER (d = 'analytics') AS repo_analytics_wide, count(*) AS repo_all_wide
-    FROM (SELECT *, {STATUS} AS status, {_DIR} AS d FROM logged) WHERE status IN ('shown', 'applied', 'personal_reject') GROUP BY ALL) USING (month)""")
+@query("a14_two_source_months", ctes(*uniques(), "cards", LOGGED,
+    ("feed", "SELECT substr(first_seen, 1, 7) AS month, count(*) FILTER (is_it AND direction = 'analytics') AS tg_analytics, count(*) FILTER (is_it AND direction = 'analytics' AND level IN ('intern', 'junior', 'unspecified')) AS tg_analytics_junior_or_unspecified FROM uniq GROUP BY ALL"),
+    ("site", f"""SELECT strftime(run_date, '%Y-%m') AS month, count(*) FILTER (d = 'analytics' AND status <> 'personal_reject') AS repo_analytics_shown_applied, count(*) FILTER (d = 'analytics') AS repo_analytics_wide, count(*) AS repo_all_wide
+    FROM (SELECT *, {STATUS} AS status, {_DIR} AS d FROM logged) WHERE status IN ('shown', 'applied', 'personal_reject') GROUP BY ALL"""),
+    ("ends", "SELECT min(month) AS a, max(month) AS b FROM (SELECT month FROM feed UNION ALL SELECT month FROM site)"),
+    ("months", "SELECT strftime(unnest(generate_series(CAST(a || '-01' AS DATE), CAST(b || '-01' AS DATE), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM ends"))
+  + """SELECT month, coalesce(tg_analytics, 0) AS tg_analytics, coalesce(tg_analytics_junior_or_unspecified, 0) AS tg_analytics_junior_or_unspecified, repo_analytics_shown_applied, repo_analytics_wide, repo_all_wide
+  FROM months LEFT JOIN feed USING (month) LEFT JOIN site USING (month)""")
 def _(spark, sf):
     s = site(spark, sf).withColumn("direction", text.guess_direction(F.col("title")))
     return market.two_source_months(postings(spark, sf), s)

@@ -150,3 +150,12 @@ def test_one_unknown_company_title_of_a_third_of_all_mentions(spark):
     assert [(r["mentions"], r["level"], len(r["skills"]), r["company"]) for r in u] == [(n // 3, "junior", 11, "")]
     months = dedup.unique_postings(d.where(F.dayofmonth("ts") == 1), 10, 10, skills=False).where("_title = 'qa'")
     assert months.count() >= 9
+
+
+def test_months_of_either_source_and_between_stand_side_by_side(spark):
+    feed = spark.createDataFrame([("2026-02-03", True, "analytics", "junior"), ("2026-02-04", True, "dev", "junior")], "first_seen string, is_it boolean, direction string, level string")
+    site = spark.createDataFrame([("2026-04-01", "analytics", "shown"), ("2026-02-01", "analytics", "personal_reject"), ("2026-01-01", "dev", "other")], "day string, direction string, status string")
+    got = [tuple(r) for r in market.two_source_months(feed, site).orderBy("month").collect()]
+    assert got == [("2026-02", 1, 1, 0, 1, 1), ("2026-03", 0, 0, None, None, None), ("2026-04", 0, 0, 1, 1, 1)]
+    assert [r["month"] for r in market.two_source_months(feed, site, start="2026-01", end="2026-02").orderBy("month").collect()] == ["2026-01", "2026-02"]
+    assert market.two_source_months(feed.limit(0), site.limit(0)).count() == 0
