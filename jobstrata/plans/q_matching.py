@@ -55,17 +55,27 @@ def _(spark, sf):
         F.col("lidx").alias("card_id"), "level", "tg_title", "tg_first_seen")
 
 
-@query("j11_match_audit", ctes(*_pairs()) + f"""SELECT p.sid AS card_id, {_NAME.replace('lv', 'p.lv')} AS level, coalesce(p.fid = b.fid, false) AS is_best, CASE WHEN p.lv > 0 THEN 'low+high' ELSE 'high_only' END AS counted_in, status AS site_status,
+_AUDIT = f"""SELECT p.sid AS card_id, {_NAME.replace('lv', 'p.lv')} AS level, coalesce(p.fid = b.fid, false) AS is_best, CASE WHEN p.lv > 0 THEN 'low+high' ELSE 'high_only' END AS counted_in, status AS site_status,
   f.title AS tg_title, first_seen AS tg_first_seen, array_to_string(channels, '; ') AS tg_channels, s.tk = f.tk AS title_equal, {'round_even(CAST(len(list_intersect(s.tk, f.tk)) AS DOUBLE) / len(list_distinct(list_concat(s.tk, f.tk))), 2)'} AS title_jaccard,
   CAST(abs(datediff('day', CAST(first_seen AS DATE), day)) AS INTEGER) AS date_gap_days,
   CASE WHEN p.lv = 3 THEN 1.0 ELSE round_even(0.6 * round_even(CAST(len(list_intersect(s.tk, f.tk)) AS DOUBLE) / len(list_distinct(list_concat(s.tk, f.tk))), 2) + CASE WHEN p.lv > 0 THEN 0.4 ELSE 0 END, 2) END::DOUBLE AS score
-FROM prs p JOIN best b USING (sid) JOIN s USING (sid) JOIN f ON p.fid = f.fid""")
+FROM prs p JOIN best b USING (sid) JOIN s USING (sid) JOIN f ON p.fid = f.fid"""
+
+
+@query("j11_match_audit", ctes(*_pairs()) + _AUDIT)
 def _(spark, sf):
     a = matching.audit_pairs(site(spark, sf), feed(spark, sf))
     return a.select(F.col("lidx").alias("card_id"), "level", "is_best", "counted_in", "site_status", "tg_title", "tg_first_seen", "tg_channels", "title_equal",
                     "title_jaccard", "date_gap_days", "score")
 
 
+@query("o2_audit_places", ctes(*_pairs(), ("audit", _AUDIT)) + """SELECT card_id, level, is_best, score, rank() OVER (
+  ORDER BY CASE level WHEN 'url' THEN 3 WHEN 'exact' THEN 2 WHEN 'fuzzy' THEN 1 ELSE 0 END DESC, is_best DESC, score) AS place FROM audit""")
+def _(spark, sf):
+    a = cut_lineage(matching.audit_pairs(site(spark, sf), feed(spark, sf)).select(F.col("lidx").alias("card_id"), "level", "is_best", "score"), "audit")
+    return matching.audit_places(a).select("card_id", "level", "is_best", "score", "place")
+
+
 @query("z1_x27_company_similarity")
 def _(spark, sf):
     a = matching.audit_pairs(site(spark, sf), feed(spark, sf))
@@ -129,11 +139,14 @@ def _(spark, sf):
     return market.two_source_months(postings(spark, sf), s)
 
 
-@query("a23_match_precision", ctes("evaluations") + """SELECT level, n_checked, n_correct, round_even(100.0::DOUBLE * n_correct / n_checked, 1) AS precision_pct,
+_PRECISION = """SELECT level, n_checked, n_correct, round_even(100.0::DOUBLE * n_correct / n_checked, 1) AS precision_pct,
   round_even(100 * greatest(0.0, (p + 3.8416 / (2 * n_checked)) / d - h), 1) AS ci95_low_pct, round_even(100 * least(1.0, (p + 3.8416 / (2 * n_checked)) / d + h), 1) AS ci95_high_pct FROM (
   SELECT *, CAST(1.96 AS DOUBLE) * sqrt(p * (1 - p) / n_checked + 3.8416 / (4.0 * n_checked * n_checked)) / d AS h FROM (SELECT *, CAST(n_correct AS DOUBLE) / n_checked AS p, CAST(1 + 3.8416 / n_checked AS DOUBLE) AS d FROM (
     SELECT level, count(*) AS n_checked, count(*) FILTER (ok) AS n_correct FROM (SELECT unnest(CASE WHEN lv <> 'title_only' THEN [lv, 'low+high (url/exact/fuzzy)'] ELSE [lv] END) AS level, passes_criteria AS ok FROM (
-      SELECT *, CASE card_id % 4 WHEN 0 THEN 'url' WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' ELSE 'title_only' END AS lv FROM evaluations WHERE NOT near_miss)) GROUP BY ALL)))""")
+      SELECT * FROM checked)) GROUP BY ALL)))"""
+
+
+@query("a23_match_precision", ctes("evaluations", ("checked", "SELECT *, CASE card_id % 4 WHEN 0 THEN 'url' WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' ELSE 'title_only' END AS lv FROM evaluations WHERE NOT near_miss")) + _PRECISION)
 def _(spark, sf):
     """The verdicts are those of the evaluations: a level per card, best pairs where it is no near miss."""
     lv = F.element_at(F.array(*[F.lit(x) for x in ("url", "exact", "fuzzy", "title_only")]), (F.col("card_id") % 4 + 1).cast("int"))
@@ -141,6 +154,13 @@ def _(spark, sf):
     return matching.match_precision(d)
 
 
+@query("a23_audited_precision", ctes(*_pairs(), ("audit", _AUDIT), ("checked", "SELECT level AS lv, card_id % 5 <> 0 AS passes_criteria FROM audit WHERE is_best AND card_id % 7 <> 0")) + _PRECISION)
+def _(spark, sf):
+    """Levels and best pairs of the audit itself; a verdict stands for the one a reader would enter, some pairs have none."""
+    v = F.when(F.col("lidx") % 7 == 0, "").when(F.col("lidx") % 5 == 0, " N ").otherwise("y")
+    return matching.match_precision(matching.audit_pairs(site(spark, sf), feed(spark, sf)).withColumn("verdict", v))
+
+
 @query("j17_daily_agreement", ctes("cards", "evaluations", ("x", """SELECT coalesce(a.url, b.url) AS url, a.r AS reason_a, b.r AS reason_b FROM
   (SELECT url, run_date AS day, min(coalesce(reject_code, 'ok')) AS r FROM cards JOIN evaluations USING (card_id) WHERE url IS NOT NULL AND passes_criteria GROUP BY ALL) a FULL JOIN
   (SELECT url, run_date AS day, min(CASE WHEN mark = 'F' THEN 'роль' WHEN mark = 'O' THEN 'досвід' ELSE 'ok' END) AS r FROM cards WHERE url IS NOT NULL AND price < 400000 GROUP BY ALL) b ON a.url = b.url AND a.day = b.day""")) +
