@@ -16,14 +16,22 @@ def _row(df: DataFrame, name: str, group: list[str], problems: list[tuple[Column
     return df.select(*group, F.lit(name).alias("name"), reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def check_decision_log(log: DataFrame, found: DataFrame, group: str, pos: str) -> DataFrame:
-    """The log of a run covers 90 % of what was found and ends with the summary row."""
+def check_decision_log(log: DataFrame, found: DataFrame, group: str, pos: str, modified: Column | None = None) -> DataFrame:
+    """The log of a run covers 90 % of what was found and ends with the summary row.
+
+    With `modified` (when a row's file was written, such as `_metadata.file_modification_time`) the run of a day `group`
+    must also have rows, and the newest of them must be of that day."""
     is_summary = F.col("result") == "ПІДСУМОК"
-    d = log.groupBy(group).agg(F.count_if(~is_summary).alias("rows"), F.max_by(is_summary, pos).alias("closed"))
+    at = F.lit(None).cast("timestamp") if modified is None else modified
+    d = log.groupBy(group).agg(F.count_if(~is_summary).alias("rows"), F.max_by(is_summary, pos).alias("closed"), F.max(at).alias("modified"))
     j = found.join(d, group, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     few = F.col("rows") < F.ceil(F.col("found") * MIN_ROWS_SHARE)
     why = F.concat(F.lit("лог відсіву: рядків "), F.col("rows").cast("string"), F.lit(" з "), F.col("found").cast("string"), F.lit(" знайдених (< 90%)"))
-    return _row(j, "лог відсіву", [group], [(~F.coalesce("closed", F.lit(False)), F.lit("лог відсіву: останній рядок не «ПІДСУМОК»")), (few, why)])
+    today = []
+    if modified is not None:
+        other_day = F.concat(F.lit("лог відсіву: modifiedTime "), F.date_format("modified", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" не сьогодні"))
+        today = [(F.col("modified").isNull(), F.lit("лог відсіву за сьогодні (запис не виконувався)")), (F.col("modified").cast("date") != F.col(group).cast("date"), other_day)]
+    return _row(j, "лог відсіву", [group], [*today, (~F.coalesce("closed", F.lit(False)), F.lit("лог відсіву: останній рядок не «ПІДСУМОК»")), (few, why)])
 
 
 def check_shown_log(log: DataFrame, own: DataFrame, repeated: DataFrame, group: str) -> DataFrame:

@@ -64,16 +64,3 @@ def running_total(df: DataFrame, group: Sequence[str], pos: str, value: Column,
     return (binned.join(offsets, [*group, "_bin"])
             .withColumn(out, F.col("_before") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
             .drop("_bin", "_v", "_before"))
-
-
-def any_key(candidates: DataFrame, known: DataFrame, pairs: Sequence[tuple[str, str]], id_col: str,
-            carry: Sequence[Column] = ()) -> DataFrame:
-    """Ids of candidates equal to a known row on any of the key pairs (an OR of keys as a union of equi-joins).
-
-    The known side is reduced to distinct keys first, so a repeated key never multiplies rows."""
-    hits = None
-    for left, right in pairs:
-        keys = known.where(F.col(right).isNotNull()).groupBy(F.col(right).alias(left)).agg(*(carry or [F.lit(1).alias("_hit")]))
-        one = candidates.where(F.col(left).isNotNull()).join(keys, left).select(id_col, *[c for c in keys.columns if c != left])
-        hits = one if hits is None else hits.unionByName(one)
-    return hits

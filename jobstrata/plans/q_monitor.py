@@ -221,6 +221,19 @@ def _(spark, sf):
     return d.withColumn("run_date", dates.day_text(F.col("run_date")))
 
 
+@query("q1_log_written_today", ctes("cards", ("lg", "SELECT run_date, card_id AS pos, CASE WHEN price < 150000 THEN 'ПІДСУМОК' ELSE 'показано' END AS result, CAST(run_date AS TIMESTAMP) + INTERVAL 1 HOUR * (card_id % 26) AS m FROM cards WHERE mark <> 'P' AND card_id % 3 = 0")) + """SELECT strftime(run_date, '%Y-%m-%d') AS run_date, 'лог відсіву' AS name, reason = '' AS ok, reason FROM (
+  SELECT run_date, CASE WHEN m IS NULL THEN 'лог відсіву за сьогодні (запис не виконувався)' WHEN CAST(m AS DATE) <> run_date THEN 'лог відсіву: modifiedTime ' || strftime(m, '%Y-%m-%dT%H:%M:%S') || ' не сьогодні' WHEN NOT last THEN 'лог відсіву: останній рядок не «ПІДСУМОК»'
+    WHEN rows < ceil(CAST(found AS DOUBLE) * 0.9) THEN 'лог відсіву: рядків ' || rows || ' з ' || found || ' знайдених (< 90%)' ELSE '' END AS reason FROM (SELECT run_date, count(*) // 10 AS found FROM cards GROUP BY run_date)
+  LEFT JOIN (SELECT run_date, count(*) FILTER (result <> 'ПІДСУМОК') AS rows, arg_max(result, pos) = 'ПІДСУМОК' AS last, max(m) AS m FROM lg GROUP BY run_date) USING (run_date))""")
+def _(spark, sf):
+    """Some runs have no log, some one that was written after midnight."""
+    c = view(spark, sf, "cards")
+    lg = c.where("mark <> 'P' AND card_id % 3 = 0").select("run_date", F.col("card_id").alias("pos"), F.when(F.col("price") < 150000, "ПІДСУМОК").otherwise("показано").alias("result"),
+                                                           (F.col("run_date").cast("timestamp") + F.make_dt_interval(hours=(F.col("card_id") % 26).cast("int"))).alias("written"))
+    found = c.groupBy("run_date").agg(F.floor(F.count(F.lit(1)) / 10).alias("found"))
+    return quality.check_decision_log(lg, found, "run_date", "pos", F.col("written")).withColumn("run_date", dates.day_text(F.col("run_date")))
+
+
 @query("q2_j22_shown_log_check", ctes("cards", ("own", "SELECT run_date, card_id || ' | ' || title AS line FROM cards WHERE mark <> 'F'"), ("lg", "SELECT run_date, card_id || ' | ' || title AS line FROM cards WHERE mark = 'O' OR (mark = 'P' AND price > 100000)")) + """SELECT strftime(run_date, '%Y-%m-%d') AS run_date, 'лог показаних' AS name, reason = '' AS ok, reason FROM (SELECT run_date,
   CASE WHEN n < shown OR (n <> shown AND NOT rep) THEN 'лог показаних: за сьогодні ' || n || ' рядків, показано ' || shown WHEN missing > 0 THEN 'лог показаних: не записано ' || missing || ' з ' || shown || ' рядків цього запуску' ELSE '' END AS reason FROM (
   SELECT run_date, count(*) AS shown, count(*) FILTER (lg.line IS NULL) AS missing, any_value(coalesce(c.n, 0)) AS n, bool_or(day(run_date) % 2 = 0) AS rep FROM own LEFT JOIN lg USING (run_date, line) LEFT JOIN (SELECT run_date, count(*) AS n FROM lg GROUP BY 1) c USING (run_date) GROUP BY run_date))""")
