@@ -4,12 +4,17 @@ A package holds `archive/data.warc.gz` (stored; one gzip member per record) and
 packages under names of their own and return them as manifest rows; the manifest is a committed table, so a package left
 behind by a lost or repeated task is in no manifest and is never read. Reading parses each package's central (or ZIP64)
 directory, turns the index into one row per record, deals these out in blocks of a bounded number of bytes, and reads each
-block's range. A package without an index is scanned record by record to make one."""
+block's range. A package without an index is scanned record by record to make one.
+
+Packages of other writers are read as well: all record types, plain or compressed archives and indexes, lengths and digests
+that are left out, digests in base 16 or 32, chunked bodies."""
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zipfile
 import zlib
@@ -56,13 +61,25 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and block of one WARC record."""
+    """Header fields (names in lower case, the first of each; folded lines joined) and block of one WARC record."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "replace")).split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-    return fields, rest[: int(fields["content-length"])]
+    fields = _fields(lines[1:])
+    size = int(fields["content-length"])
+    if len(rest) < size:
+        raise ValueError(f"{fields.get('warc-record-id', 'a record')} is cut short: {len(rest)} of {size} bytes")
+    return fields, rest[:size]
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if colon:
+            out.setdefault(name.strip().lower(), value.strip())
+    return out
 
 
 class _Package:
@@ -160,20 +177,42 @@ def _index_batch(path: str, found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _records(f, length: int):
-    """(first byte, length) of each record: from the indexes, or by a scan of archives that no index names."""
+    """(first byte, length) of each record: from the indexes, or by a scan of archives that no index names.
+
+    Indexes name an archive by its whole member name or by the part below `archive/`."""
     directory = zipdir.members(f, length)
-    start = {m.name: zipdir.data_at(f, m) for m in directory if m.name.startswith("archive/")}
+    archives = {m.name: (zipdir.data_at(f, m), m.size) for m in directory if m.name.startswith("archive/") and m.name.endswith((".warc.gz", ".warc"))}
     named = set()
     for m in directory:
-        if m.name.startswith("indexes/") and m.name.endswith(".cdxj"):
-            for line in zipdir.read_at(f, zipdir.data_at(f, m), m.size).decode().splitlines():
-                entry = json.loads(line[line.index("{"):])
-                named.add(entry["filename"])
-                yield start[entry["filename"]] + entry["offset"], entry["length"]
-    for m in directory:
-        if m.name in start and m.name not in named:
-            for offset, n in _scan(f, start[m.name], m.size):
-                yield start[m.name] + offset, n
+        if m.name.startswith("indexes/") and m.name.endswith((".cdxj", ".cdx.gz", ".cdxj.gz")):
+            for line in _lines(f, zipdir.data_at(f, m), m.size, m.name.endswith(".gz")):
+                if b"{" not in line:  # a comment or an empty line
+                    continue
+                entry = json.loads(line[line.index(b"{"):])
+                name = entry["filename"] if entry["filename"] in archives else f"archive/{entry['filename']}"
+                if name not in archives:
+                    raise ValueError(f"{m.name} names {entry['filename']}, which the package does not hold")
+                named.add(name)
+                yield archives[name][0] + int(entry["offset"]), int(entry["length"])
+    for name in sorted(archives.keys() - named):
+        at, size = archives[name]
+        for offset, n in (_scan if name.endswith(".gz") else _scan_plain)(f, at, size):
+            yield at + offset, n
+
+
+def _lines(f, at: int, size: int, packed: bool, step: int = 1 << 20):
+    """Lines of a stored member, plain or of gzip members, read in pieces of `step` bytes; only \\n ends a line."""
+    rest, unzip = b"", zlib.decompressobj(31)
+    for p in range(0, size, step):
+        piece = zipdir.read_at(f, at + p, min(step, size - p))
+        while piece:
+            text, piece = (unzip.decompress(piece), unzip.unused_data) if packed else (piece, b"")
+            if packed and unzip.eof:
+                unzip = zlib.decompressobj(31)
+            *whole, rest = (rest + text).split(b"\n")
+            yield from whole
+    if rest:
+        yield rest
 
 
 def _scan(f, at: int, size: int, step: int = 1 << 20):
@@ -192,11 +231,34 @@ def _scan(f, at: int, size: int, step: int = 1 << 20):
                 offset, unzip = end, zlib.decompressobj(31)
 
 
-def read_records(index: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The records of an index: page_id, record_type, refers_to, payload (null for a revisit), payload_bytes, payload_digest.
+def _scan_plain(f, at: int, size: int, step: int = 1 << 14):
+    """Offset and length of each record of an uncompressed archive; blocks are skipped, not read."""
+    offset = 0
+    while offset < size:
+        head = b""
+        while b"\r\n\r\n" not in head:
+            more = zipdir.read_at(f, at + offset + len(head), min(step, size - offset - len(head)))
+            if not more:
+                raise ValueError("an archive ends inside a record's header")
+            head += more
+        fields = _fields(head[: head.index(b"\r\n\r\n")].decode("utf-8", "replace").split("\r\n")[1:])
+        n = head.index(b"\r\n\r\n") + 4 + int(fields["content-length"]) + 4
+        yield offset, min(n, size - offset)
+        offset += n
 
-    Records of one block of a package are read by one range read. The digest of a payload is computed again and must be
-    the stored one; a revisit has the digest and length that its record states."""
+
+READ = "record_id string, page_id long, url string, record_type string, refers_to_id string, refers_to long, payload binary, payload_bytes long, payload_digest string"
+
+
+def read_records(index: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The records of an index, of any type and writer: record_id, page_id, url, record_type, refers_to_id, refers_to,
+    payload, payload_bytes, payload_digest.
+
+    page_id and refers_to are null where a record id is not one of this writer's. The payload is the body of an HTTP message
+    (chunks put together, content encodings left as they are), else the whole block; null for a revisit. The digest is the
+    SHA-1 in lower-case hex. A stated digest, in base 16 or 32, must be that of the payload, with or without its chunk
+    marks; other algorithms that hashlib has are checked as well, unknown ones are not. A revisit has the digest and length
+    that its record states, null where it states none. Records of one block of a package are read by one range read."""
     partitions = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that the short index rows are not dealt to one task
     dealt = index.withColumn("_block", F.floor(F.col("at") / block_bytes)).repartition(partitions, "path", "_block").sortWithinPartitions("path", "at")
 
@@ -213,29 +275,79 @@ def read_records(index: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 store, p = open_folder(path)
                 with store.open_input_file(p) as f:
                     data = zipdir.read_at(f, at, end - at)
-                yield _parsed([gzip.decompress(data[a - at: a - at + n]) for _, a, n in places[i:j]])
+                yield _parsed([_unpacked(data[a - at: a - at + n]) for _, a, n in places[i:j]])
                 i = j
-    return dealt.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
+    return dealt.mapInArrow(read, READ)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data
 
 
 def _id(name: str | None) -> int | None:
-    text = (name or "").removeprefix("<urn:page:").rstrip(">")
-    return int(text) if text not in ("", "None") else None
+    """The number in a record id of this writer, null for any other."""
+    number = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", name or "")
+    return int(number[1]) if number else None
+
+
+def _whole(body: bytes) -> bytes | None:
+    """A chunked body without its chunk marks; null if it is not one."""
+    out, p = [], 0
+    while True:
+        line = body.find(b"\r\n", p)
+        size = re.fullmatch(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;.*)?", body[p:line], re.S) if line >= 0 else None
+        if size is None:
+            return None
+        n, p = int(size[1], 16), line + 2
+        if n == 0:
+            return b"".join(out)
+        if body[p + n: p + n + 2] != b"\r\n":
+            return None
+        out.append(body[p: p + n])
+        p += n + 2
+
+
+def _digest(stated: str | None) -> tuple[str, str] | None:
+    """(algorithm, lower-case hex) of a stated digest in base 16 or 32; null if there is none or its algorithm is unknown."""
+    kind, _, value = (stated or "").partition(":")
+    kind, value = kind.strip().lower().replace("-", ""), value.strip()
+    if kind not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    size = hashlib.new(kind).digest_size
+    if re.fullmatch(f"[0-9A-Fa-f]{{{2 * size}}}", value):
+        return kind, value.lower()
+    value = value.rstrip("=").upper()
+    if not re.fullmatch("[A-Z2-7]+", value) or len(value) != -(-size * 8 // 5):
+        raise ValueError(f"{stated} is no {kind} digest in base 16 or 32")
+    return kind, base64.b32decode(value + "=" * (-len(value) % 8)).hex()
 
 
 def _parsed(records: list[bytes]) -> pa.RecordBatch:
     rows = []
     for data in records:
         fields, block = parse(data)
-        http, _, payload = block.partition(b"\r\n\r\n")
-        size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))[15:])
-        revisit, stated = fields["warc-type"] == "revisit", fields["warc-payload-digest"].removeprefix("sha1:")
-        if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != stated):
-            raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
-        rows.append((_id(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], _id(fields.get("warc-refers-to")), None if revisit else payload, size, stated))
-    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
-    names = ("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest")
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
+        kind, http = fields["warc-type"], {}
+        body = block
+        if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            head, _, body = block.partition(b"\r\n\r\n")
+            http = _fields(head.decode("latin-1").split("\r\n")[1:])
+        payload = body
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            whole = _whole(body)
+            payload = body if whole is None else whole
+        stated = _digest(fields.get("warc-payload-digest"))
+        if kind == "revisit":
+            length = http.get("content-length", "")
+            row = (None, int(length) if length.isdecimal() else None, stated[1] if stated and stated[0] == "sha1" else None)
+        else:
+            if stated and "warc-truncated" not in fields and stated[1] not in (hashlib.new(stated[0], payload).hexdigest(), hashlib.new(stated[0], body).hexdigest()):
+                raise ValueError(f"the payload of {fields.get('warc-record-id')} is damaged")
+            row = (payload, len(payload), hashlib.sha1(payload).hexdigest())
+        name, refers = fields.get("warc-record-id"), fields.get("warc-refers-to")
+        rows.append((name, _id(name), fields.get("warc-target-uri"), kind, refers, _id(refers), *row))
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string())
+    names = [x.split()[0] for x in READ.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def archived_pages(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, package_bytes: int = PACKAGE_BYTES) -> DataFrame:

@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import io
 import random
@@ -68,3 +70,69 @@ def test_directories(monkeypatch, limit):
     assert [(m.name, m.size, zipdir.read_at(out, zipdir.data_at(out, m), m.size)) for m in found] == want
     with pytest.raises(ValueError):
         zipdir.members(io.BytesIO(b"no package at all, only text"), 28)
+
+
+def foreign(kind, block, *fields, name="<urn:uuid:0-1>"):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def foreign_records():
+    body, http = "grüße".encode() * 50, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+    chunks = b"5;x=1\r\n" + body[:5] + b"\r\n" + b"%X\r\n" % (len(body) - 5) + body[5:] + b"\r\n0\r\nTrailer: a\r\n\r\n"
+    base32 = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    app = "Content-Type: application/http; msgtype=response"
+    url = "WARC-Target-URI: http://a/ x"
+    return body, [
+        (foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), ("warcinfo", b"software: x\r\n")),
+        (foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request", url), ("request", b"")),
+        (foreign("response", http + b"\r\n" + body, app, url, base32), ("response", body)),
+        (foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, app, base32.replace("sha1", "SHA1")), ("response", body)),
+        (foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\n" + body, app), ("response", body)),   # says so, but is not
+        (foreign("response", http + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, app, f"WARC-Payload-Digest: sha256:{hashlib.sha256(chunks).hexdigest()}"), ("response", body)),
+        (foreign("resource", body, "Content-Type: text/plain", f"WARC-Payload-Digest: md5:{hashlib.md5(body).hexdigest().upper()}"), ("resource", body)),
+        (foreign("metadata", b"a: 1", "WARC-Refers-To: <urn:uuid:0-1>", "X-Folded: a\r\n  b"), ("metadata", b"a: 1")),
+        (foreign("response", http + b"\r\n" + body[:9], app, base32, "WARC-Truncated: length"), ("response", body[:9])),
+        (foreign("revisit", http + b"\r\n", app, base32, "WARC-Refers-To: <urn:uuid:0-1>"), ("revisit", None)),
+        (foreign("revisit", b"", base32.split(":")[0] + ": crc9:00"), ("revisit", None)),
+        (foreign("response", b"HTTP/1.1 200 OK\r\n\r\n", app, name="<urn:page:12>"), ("response", b"")),
+    ]
+
+
+@pytest.mark.parametrize("layout", ["scan", "plain", "index", "packed index"])
+def test_foreign_archives(spark, layout):
+    body, made = foreign_records()
+    folder = "file://" + scratch_path(spark, "w").removeprefix("file:")
+    store, path = warc.open_folder(folder)
+    store.create_dir(path, recursive=True)
+    parts = [r if layout == "plain" else gzip.compress(r) for r, _ in made]
+    name = "data.warc" if layout == "plain" else "data.warc.gz"
+    at, lines = 0, ["!meta a comment"]
+    for p in parts:
+        lines.append('a,x)/  2024 {"url": "x y", "filename": "%s", "offset": "%d", "length": "%d"}' % (name, at, len(p)))
+        at += len(p)
+    with zipfile.ZipFile(f"{path}/a.wacz", "w") as z:
+        z.writestr(f"archive/{name}", b"".join(parts))
+        z.writestr("pages/pages.jsonl", "{}")
+        if "index" in layout:
+            text = ("\n".join(lines) + "\n").encode()
+            packed = layout != "index"
+            z.writestr("indexes/index.cdx.gz" if packed else "indexes/index.cdxj", gzip.compress(text[:99]) + gzip.compress(text[99:]) if packed else text)
+    index = Stages(spark).keep(warc.record_index(warc.list_archives(spark, folder)))
+    rows = index.orderBy("at").collect()
+    got = {}
+    for r in warc.read_records(index).collect():
+        got.setdefault((r.record_type, None if r.payload is None else bytes(r.payload)), []).append(r)
+    want = [w for _, w in made]
+    assert len(rows) == len(made) and sorted(map(repr, (k for k, v in got.items() for _ in v))) == sorted(map(repr, want))
+    assert all(r.payload_digest == hashlib.sha1(k[1]).hexdigest() and r.payload_bytes == len(k[1]) for k, v in got.items() for r in v if k[1] is not None)
+    assert {(r.payload_digest, r.payload_bytes, r.refers_to_id, r.refers_to) for r in got["revisit", None]} == {(hashlib.sha1(body).hexdigest(), None, "<urn:uuid:0-1>", None), (None, None, None, None)}
+    assert [r.page_id for r in got["response", b""]] == [12] and got["request", b""][0].url == "http://a/ x"
+
+
+def test_damage_is_found():
+    body = b"HTTP/1.1 200 OK\r\n\r\nabc"
+    wrong = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"abd").digest()).decode()
+    for r in (foreign("response", body, "Content-Type: application/http", wrong), foreign("response", body)[:-9], b"HTTP/1.1 200 OK\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc._parsed([r])
