@@ -67,3 +67,69 @@ def test_context_reaches_beyond_other_matches(spark, documents):
 def test_the_classifier_decides_on_one_vote():
     shape = {0b0011 * 12 + 4: 500, 0b0001 * 12 + 4: 100, 0b0000 * 12 + 1: 900}
     assert pii.train(shape) == {0b0011 * 12 + 4, 0b0001 * 12 + 4}
+
+
+def account(rnd, country, size):
+    body = "".join(rnd.choice("0123456789") for _ in range(size - 4))
+    number = lambda check: int("".join(str(int(c, 36)) for c in body + country + check))
+    return country + f"{98 - number('00') % 97:02d}" + body
+
+
+def planted(rnd):
+    """(kind, span, what stands before it) of a real span of any kind, some without any word that names it."""
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    kind = rnd.choice([k for k, _, _ in pii.CANDIDATES])
+    bare = rnd.random() < 0.25
+    if kind == "secret":
+        span = rnd.choice(["ghp_" + hexes(36), "sk_live_" + hexes(24) + "Ab9", hexes(40)])
+        return kind, span, rnd.choice(["token = ", 'password: "', "api_key='"])
+    if kind == "national_phone":
+        return kind, f"{rnd.choice(pii.AREA_CODES)}-{rnd.randrange(2, 9)}{rnd.randrange(20, 99)}-{digits(4)}", "see " if bare else rnd.choice(["call ", "my phone is ", "fax: "])
+    if kind == "social_number":
+        return kind, f"{rnd.randrange(1, 660):03d}-{rnd.randrange(1, 99):02d}-{rnd.randrange(1, 9999):04d}", "ssn " if not bare else "taxpayer: "
+    if kind == "bank_account":
+        country = rnd.choice(["DE", "FR", "PL", "NL", "UA"])
+        span = account(rnd, country, pii.ACCOUNT_LENGTHS[country])
+        return kind, span, "pay to " if bare else rnd.choice(["iban ", "account: ", "bank transfer to "])
+    return kind, f"{rnd.choice(['jo', 'ann.lee', 'x_1'])} [at] {rnd.choice(['gmail', 'proton', 'yahoo'] if bare else ['acme', 'gmail'])} [dot] {rnd.choice(['com', 'org', 'de'])}", "by " if bare else "contact "
+
+
+def decoy(rnd):
+    """What matches a candidate pattern by accident."""
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    return rnd.choice([lambda: "chapter" + digits(20), lambda: "some_long_name_of_version_" + digits(2), lambda: f"{rnd.choice('01')}{digits(2)}.{digits(3)}-{digits(4)}", lambda: f"9{digits(2)}-00-{digits(4)}",
+                       lambda: f"XQ{digits(2)}" + "".join(rnd.choice("ABCDEFG0123") for _ in range(16)), lambda: "look [at] this [dot] here"])()
+
+
+def test_spans_of_all_kinds_are_found(spark, documents):
+    rnd, texts, real = random.Random(8), [], set()
+    for i in range(1500):
+        if i % 3:
+            texts.append((i, f"the item {decoy(rnd)} is listed and stays"))
+        else:
+            kind, span, before = planted(rnd)
+            real.add((kind, i, 6 + len(before), 6 + len(before) + len(span)))
+            texts.append((i, f"words {before}{span} more of them"))
+    found = {(kind, r.doc_id, int(a), int(b)) for r in pii.personal_data(documents(texts)).collect() for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind not in dict(BASE)}
+    figures = {}
+    for kind, _, _ in pii.CANDIDATES:
+        of = [{x for x in s if x[0] == kind} for s in (real, found)]
+        figures[kind] = len(of[0]), len(of[0] & of[1]) / len(of[0]), len(of[0] & of[1]) / max(1, len(of[1]))
+    print(figures)
+    assert all(n > 50 and recall >= 0.95 and precision >= 0.95 for n, recall, precision in figures.values()), figures
+
+
+def test_gazetteer_and_checksum(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(4)
+    good = [account(rnd, c, n) for c, n in pii.ACCOUNT_LENGTHS.items()] + ["GB29 NWBK 6016 1331 9268 19"]
+    rows = [(g, True) for g in good] + [(g[:-1] + str((int(g[-1]) + 1) % 10), False) for g in good]
+    df = spark.createDataFrame(rows, "a string, ok boolean")
+    assert df.where((pii.checksum(F.col("a")) == 1) != F.col("ok")).count() == 0
+    assert df.where(~pii._looked_up("bank_account", F.col("a"))).count() == 0
+    cases = [("secret", "ghp_0123456789abcdef0123", True), ("secret", "xghp_0123456789abcdef0123", False), ("national_phone", "(212) 334-5566", True), ("national_phone", "212-134-5566", False), ("national_phone", "211-334-5566", False),
+             ("social_number", "772-01-0001", True), ("social_number", "773-01-0001", False), ("social_number", "666-01-0001", False), ("bank_account", "DE001234", False), ("bank_account", "XX00123456789", False),
+             ("masked_email", "jo (AT) Gmail (dot) com", True), ("masked_email", "jo [at] mygmail [dot] com", False)]
+    for kind, hit, want in cases:
+        assert spark.range(1).select(pii._looked_up(kind, F.lit(hit))).first()[0] is want, hit
