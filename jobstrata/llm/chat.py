@@ -4,13 +4,15 @@ it as context and only that reply trainable.
 A turn is written `<s>role\\ntext</s>`. Inside roles and texts `~`, `<` and `[` (and, in roles, the line break) are written
 `~0` to `~3`, so no control string can appear there, and reading back restores them. Turns after the last reply form a
 closing example without a trainable part, so the output holds the whole conversation. An example is one row and holds
-all its context, so a task needs the memory of the longest conversation, as any reader of its last example does."""
+all its context, so a task needs the memory of the longest conversation, as any reader of its last example does. The
+examples of a long conversation, which grow with the square of its turns, are written by many tasks, RUN at a time."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<s>", "</s>"
+RUN = 64  # examples of a conversation that one row deals out
 # The escape of each character, in the order in which escaping applies them.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("\n", "~3"))
 
@@ -27,18 +29,23 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def expand(turns: DataFrame) -> DataFrame:
+def expand(turns: DataFrame, run: int = RUN) -> DataFrame:
     """conv_id, example_no, text, loss_start, loss_end (code points; both null where nothing is trainable), closing.
 
     Turns are ordered by (turn, role, text), nulls first; a null role or text counts as empty; rows that repeat are
     turns of their own; a null conv_id is a conversation like any other. Other columns of `turns` are not read."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     conv = turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    chunk = lambda t: F.concat(F.lit(OPEN), escape(t["role"], True), F.lit("\n"), escape(t["text"]), F.lit(CLOSE))
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, since the rows are short before they are expanded
     n = F.size("turns")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (F.get("turns", i - 1)["role"] == "assistant") | (i == n))
-    spread = (conv.select("conv_id", "turns", F.transform("turns", chunk).alias("chunks"), ends.alias("ends"))
-              .select("conv_id", "turns", "chunks", n.alias("n"), F.posexplode("ends").alias("example_no", "last")))
+    conv = conv.select("conv_id", "turns", n.alias("n"), ends.alias("ends"))
+    short = conv.where(F.size("ends") <= run).withColumn("first", F.lit(0))
+    long_ = (conv.where(F.size("ends") > run).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("ends") - 1, F.lit(run))))
+             .withColumn("ends", F.slice("ends", F.col("first") + 1, run)).withColumn("turns", F.slice("turns", F.lit(1), F.element_at("ends", -1))).repartition(tasks, "conv_id", "first"))
+    chunk = lambda t: F.concat(F.lit(OPEN), escape(t["role"], True), F.lit("\n"), escape(t["text"]), F.lit(CLOSE))
+    spread = (short.unionByName(long_).select("conv_id", "turns", F.transform("turns", chunk).alias("chunks"), "n", "first", "ends")
+              .select("conv_id", "turns", "chunks", "n", "first", F.posexplode("ends").alias("place", "last")).withColumn("example_no", F.col("first") + F.col("place")))
     reply, trainable = F.get("turns", F.col("last") - 1), F.get("turns", F.col("last") - 1)["role"] == "assistant"
     text = spread.select("conv_id", "example_no", F.array_join(F.slice("chunks", 1, F.col("last")), "").alias("text"), (F.col("last") == F.col("n")).alias("closing"),
                          F.when(trainable, F.length(escape(reply["text"]))).alias("_reply"))

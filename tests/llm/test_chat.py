@@ -37,3 +37,14 @@ def test_examples_hold_their_context(spark):
     first = "<s>system\ns</s><s>user\na~1b</s><s>assistant\nr1</s>"
     assert [r.text for r in ex] == [first, first + "<s>user\nc</s><s>assistant\nr~22</s>", first + "<s>user\nc</s><s>assistant\nr~22</s><s>user\ntail</s>"]
     assert [None if r.loss_start is None else r.text[r.loss_start:r.loss_end] for r in ex] == ["r1", "r~22", None]
+
+
+def test_examples_of_a_long_conversation_are_dealt_out(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"<{t}>") for t in range(901)] + [(2, 0, "user", "q"), (2, 1, "assistant", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.expand(turns, run=10_000).collect()
+    parts = chat.expand(turns, run=50)
+    assert len(whole) == 452 and sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole))
+    assert parts.where("conv_id = 1").selectExpr("spark_partition_id() as p").distinct().count() > 1
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(turns).collect()}
+    assert got == brute(rows)
