@@ -6,6 +6,8 @@ row, so the openings are found as a fixpoint: with a guess of them, each row is
 among a key's rows an opening is a free row more than the window after the one before. The guess is right up to the
 first wrong opening in time, so each round gets further, and it stops when nothing changes. A round is a join on the
 url, a partial aggregate per key and window-wide bucket and a window over those few buckets; no key is gathered whole.
+After the second round only what a changed opening can reach is looked at again: the keys of the rows with its url, of the
+posting that had registered the url and of the one that does now.
 """
 from __future__ import annotations
 
@@ -25,22 +27,24 @@ def _keyed(rows: DataFrame, pos: Column) -> DataFrame:
                        F.struct(F.unix_date("day").alias("d"), pos.alias("p")).alias("at"), rank.alias("rank"), "title", "company", "url")
 
 
-def _bound(rows: DataFrame, openings: DataFrame) -> DataFrame:
+def _registered(openings: DataFrame) -> DataFrame:
+    """uk, g: the opening that registered each url."""
+    return openings.where(F.col("uk").isNotNull()).groupBy("uk").agg(F.min(F.struct("at", *KEY, "next")).alias("g"))
+
+
+def _bound(rows: DataFrame, reg: DataFrame) -> DataFrame:
     """Rows with the posting their url opened earlier (gk, gat, gnext), null for free rows."""
-    reg = openings.where(F.col("uk").isNotNull()).groupBy("uk").agg(F.min(F.struct("at", *KEY, "next")).alias("g"))
-    j = rows.join(reg, "uk", "left")
-    return j.withColumn("g", F.when(F.col("g.at") < F.col("at"), F.col("g")))
-
-
-def _openings(rows: DataFrame, guess: DataFrame | None, window: int) -> DataFrame:
-    """Openings (tk, ck, at, uk, next) that follow from a guess of them."""
-    if guess is None:
-        events = rows.select(*KEY, "at", F.lit(True).alias("free"), "uk")
-    else:
-        j = _bound(rows, guess)
-        latest = F.col("g.next").isNull() | (F.col("at") < F.col("g.next"))
-        events = j.where(F.col("g").isNull() | latest).select(
-            *[F.coalesce(F.col(f"g.{k}"), F.col(k)).alias(k) for k in KEY], "at", F.col("g").isNull().alias("free"), "uk")
+    return rows.join(reg, "uk", "left").withColumn("g", F.when(F.col("g.at") < F.col("at"), F.col("g")))
+
+
+def _events(bound: DataFrame) -> DataFrame:
+    """Key, at, free, uk of the rows that are free or keep the posting they are bound to open."""
+    latest = F.col("g.next").isNull() | (F.col("at") < F.col("g.next"))
+    return bound.where(F.col("g").isNull() | latest).select(*[F.coalesce(F.col(f"g.{k}"), F.col(k)).alias(k) for k in KEY], "at", F.col("g").isNull().alias("free"), "uk")
+
+
+def _openings(events: DataFrame, window: int) -> DataFrame:
+    """Openings (tk, ck, at, uk, next) that follow from events."""
     per = events.groupBy(*KEY, F.floor(F.col("at.d") / window).alias("b")).agg(F.min(F.struct("at", "free", "uk")).alias("first"), F.max("at.d").alias("last"))
     w = Window.partitionBy(*KEY).orderBy("b")
     before = F.lag("last").over(w)
@@ -48,18 +52,43 @@ def _openings(rows: DataFrame, guess: DataFrame | None, window: int) -> DataFram
     return opened.select(*KEY, F.col("first.at").alias("at"), F.col("first.uk").alias("uk"), F.lead("first.at").over(w).alias("next"))
 
 
+def _reached(rows: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Keys whose events differ between two guesses: those of rows with a url whose registration changed, and of both
+    registrations."""
+    o, n = (_registered(d).withColumnRenamed("g", f"g{i}") for i, d in enumerate((old, new)))
+    urls_ = cut_lineage(o.join(n, "uk", "full").where("not g0 <=> g1"))
+    own = rows.join(urls_.select("uk"), "uk", "left_semi").select(*KEY)
+    of = [urls_.where(f"g{i} is not null").select(*[F.col(f"g{i}.{k}").alias(k) for k in KEY]) for i in (0, 1)]
+    return own.unionByName(of[0]).unionByName(of[1]).distinct()
+
+
+def _again(rows: DataFrame, openings: DataFrame, keys: DataFrame, window: int) -> DataFrame:
+    """Openings that follow for `keys`: from their own rows and the rows bound to them by url."""
+    reg = _registered(openings)
+    bound_to = reg.join(keys.select(*[F.col(k).alias(f"_{k}") for k in KEY]), (F.col("g.tk") == F.col("_tk")) & (F.col("g.ck") == F.col("_ck")), "left_semi").select("uk", F.lit(True).alias("_by_url"))
+    near = rows.join(keys.withColumn("_own", F.lit(True)), KEY, "left").join(bound_to, "uk", "left").where("_own or _by_url").drop("_own", "_by_url")
+    return _openings(_events(_bound(near, reg)).join(keys, KEY, "left_semi"), window)
+
+
+def settled_openings(rows: DataFrame, window: int) -> tuple[DataFrame, list[int]]:
+    """The openings that follow from themselves, and how many keys each round after the first looked at again."""
+    guess = cut_lineage(_openings(rows.select(*KEY, "at", F.lit(True).alias("free"), "uk"), window))
+    openings = cut_lineage(_openings(_events(_bound(rows, _registered(guess))), window))
+    looked_at = []
+    while True:
+        keys = cut_lineage(_reached(rows, guess, openings))
+        looked_at.append(keys.count())
+        if looked_at[-1] == 0:
+            return openings, looked_at
+        guess, openings = openings, cut_lineage(openings.join(keys, KEY, "left_anti").unionByName(_again(rows, openings, keys, window)))
+
+
 def unique_postings(rows: DataFrame, pos: Column, window: int = 30) -> DataFrame:
     """One row per posting with its last day and best status. A posting another one of the same title and company came
     after is `superseded`."""
     rows = cut_lineage(_keyed(rows, pos))
-    openings = cut_lineage(_openings(rows, None, window))
-    while True:
-        again = cut_lineage(_openings(rows, openings, window))
-        same = again.select(*KEY, "at").exceptAll(openings.select(*KEY, "at")).isEmpty() and openings.select(*KEY, "at").exceptAll(again.select(*KEY, "at")).isEmpty()
-        openings = again
-        if same:
-            break
-    j = _bound(rows, openings)
+    openings, _ = settled_openings(rows, window)
+    j = _bound(rows, _registered(openings))
     spans = openings.withColumn("b", F.floor(F.col("at.d") / window))
     free = j.where(F.col("g").isNull()).withColumn("b", F.floor(F.col("at.d") / window))
     # the posting open in each bucket of a key: its last opening so far

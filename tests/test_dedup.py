@@ -159,3 +159,24 @@ def test_months_of_either_source_and_between_stand_side_by_side(spark):
     assert got == [("2026-02", 1, 1, 0, 1, 1), ("2026-03", 0, 0, None, None, None), ("2026-04", 0, 0, 1, 1, 1)]
     assert [r["month"] for r in market.two_source_months(feed, site, start="2026-01", end="2026-02").orderBy("month").collect()] == ["2026-01", "2026-02"]
     assert market.two_source_months(feed.limit(0), site.limit(0)).count() == 0
+
+
+def test_a_chain_of_dependent_openings_looks_only_at_its_own_keys(spark):
+    day = lambda n: (datetime(2026, 1, 1) + timedelta(days=n)).date()
+    rows = [(f"role {'abcdefghijklm'[k]}", "acme", f"x/{k - 1 + i}", day(2 * k + i)) for k in range(13) for i in (0, 1) if k or i]  # each row but the last of its role is bound only if the role before opened by its last
+    rows += [(f"other {a}{b}", "beta", f"y/{a}{b}", day(d)) for a in "abcdefghijklmnopqrst" for b in "abcdefghij" for d in (0, 5)]
+    rows = [{"n": n, "title": t, "company": c, "url": u, "day": d, "rank": n % 4} for n, (t, c, u, d) in enumerate(rows)]
+    names = sorted(board.RANK, key=board.RANK.get)
+    d = spark.createDataFrame([(r["n"], r["title"], r["company"], r["url"], r["day"], names[r["rank"]]) for r in rows], "n long, title string, company string, url string, day date, status string")
+    got = board.unique_postings(d, F.col("n"), 10).collect()
+    assert sorted((r["title"], r["company"], r["url"], str(r["first_day"]), str(r["day"]), board.RANK[r["status"]], r["rows"], r["superseded"]) for r in got) == board_brute_force(rows, 10)
+    _, looked_at = board.settled_openings(board._keyed(d, F.col("n")), 10)
+    assert len(looked_at) > 3 and looked_at[-1] == 0 and max(looked_at) <= 13
+
+
+def test_site_postings_of_rows_without_title_or_company(spark):
+    d = spark.createDataFrame([(0, None, None, "x/1", datetime(2026, 1, 1).date(), "shown"), (1, None, None, "x/2", datetime(2026, 1, 2).date(), "applied"), (2, "QA", None, "x/1", datetime(2026, 1, 3).date(), "shown")],
+                              "n long, title string, company string, url string, day date, status string")
+    got = board.unique_postings(d, F.col("n"), 10).collect()
+    assert [(r["url"], r["rows"], r["status"]) for r in got] == [("x/1", 3, "shown")]
+    assert board.unique_postings(d.limit(0), F.col("n"), 10).count() == 0
