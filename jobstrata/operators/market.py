@@ -31,13 +31,15 @@ def full_weeks(df: DataFrame, day: str) -> DataFrame:
 
 
 def skills_by_direction(uniques: DataFrame, k: int = 20) -> DataFrame:
-    """Most wanted skills per direction; the share is over all postings of the direction. Ties go by name."""
+    """Most wanted skills per direction; the share is over all postings of the direction.
+
+    Ties go to the skill of the earlier posting (`ord`); those first seen in one posting, whose skills are a set, by name."""
     have = F.array_distinct("skills")
     totals = uniques.groupBy("direction").agg(F.count(F.lit(1)).alias("n"),
                                               F.sum((F.size("skills") > 0).cast("long")).alias("n_with_skills"))
-    counts = (uniques.select("direction", F.explode(have).alias("skill"))
-              .groupBy("direction", "skill").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("direction").orderBy(F.desc("c"), "skill")
+    counts = (uniques.select("direction", "ord", F.explode(have).alias("skill"))
+              .groupBy("direction", "skill").agg(F.count(F.lit(1)).alias("c"), F.min("ord").alias("first")))
+    w = Window.partitionBy("direction").orderBy(F.desc("c"), "first", "skill")
     top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     return (top.join(totals, "direction")
             .select("direction", "skill", pct(F.col("c"), F.col("n")).alias("share_pct"), "n", "n_with_skills",

@@ -108,13 +108,13 @@ def _(spark, sf):
     return matching.coverage(base, matching.best_matches(base, feed(spark, sf)), [text.guess_direction(F.col("title")).alias("direction")])
 
 
-@query("a10_x18_skill_demand", ctes(*uniques(), ("e", "SELECT list_distinct(list_transform(skills, lambda s: CASE lower(s) WHEN 'postgres' THEN 'postgresql' WHEN 'powerbi' THEN 'power bi' WHEN 'ms excel' THEN 'excel' ELSE lower(s) END)) AS sk FROM uniq "
+@query("a10_x18_skill_demand", ctes(*uniques(), ("e", "SELECT gpos, cstart, list_distinct(list_transform(skills, lambda s: CASE lower(s) WHEN 'postgres' THEN 'postgresql' WHEN 'powerbi' THEN 'power bi' WHEN 'ms excel' THEN 'excel' ELSE lower(s) END)) AS sk FROM uniq "
                                              "WHERE is_it AND direction = 'analytics' AND level IN ('intern', 'junior', 'unspecified')")) + f"""SELECT skill, {pct('c', 'n')} AS share_pct, n AS n_with_skills,
   CASE WHEN skill IN ('sql', 'postgresql', 'excel') THEN 'мій' WHEN skill = 'power bi' THEN 'вчу' ELSE 'прогалина' END AS state FROM (
-  SELECT skill, count(*) AS c, (SELECT count(*) FROM e WHERE len(sk) > 0) AS n FROM (SELECT unnest(sk) AS skill FROM e) GROUP BY ALL ORDER BY c DESC, skill LIMIT 30)""")
+  SELECT skill, count(*) AS c, (SELECT count(*) FROM e WHERE len(sk) > 0) AS n, min((gpos, cstart)) AS f FROM (SELECT gpos, cstart, unnest(sk) AS skill FROM e) GROUP BY skill ORDER BY c DESC, f, skill LIMIT 30)""")
 def _(spark, sf):
     u = postings(spark, sf, skills=True)
-    return matching.skill_demand(cut_lineage(u.where(F.col("is_it") & (F.col("direction") == "analytics") & F.col("level").isin("intern", "junior", "unspecified")).select("skills")))
+    return matching.skill_demand(cut_lineage(u.where(F.col("is_it") & (F.col("direction") == "analytics") & F.col("level").isin("intern", "junior", "unspecified")).select("ord", "skills")))
 
 
 @query("j9_posting_details", ctes(*uniques(False), ("det", """SELECT gpos, cstart, min(m.experience_years_min) AS experience, arg_min((m.salary_min, m.salary_max, m.salary_currency), (m.post_id, m.vacancy_idx, m.part_id, m.supp_id)) FILTER (m.salary_min IS NOT NULL OR m.salary_max IS NOT NULL) AS pay

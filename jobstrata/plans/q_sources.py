@@ -206,10 +206,11 @@ def _(spark, sf):
     return top.withColumn("truncated", more)
 
 
-@query("o3_top_skills", ctes("mentions") + "SELECT skill, count(*) AS n FROM (SELECT trim(unnest(string_split(skills, ';'))) AS skill FROM mentions) WHERE skill <> '' GROUP BY ALL ORDER BY n DESC, skill LIMIT 20")
+@query("o3_top_skills", ctes("mentions") + "SELECT skill, n FROM (SELECT skill, count(*) AS n, min((ts, post_id, vacancy_idx, part_id, supp_id, i)) AS f FROM (SELECT ts, post_id, vacancy_idx, part_id, supp_id, trim(unnest(string_split(skills, ';'))) AS skill, "
+       "generate_subscripts(string_split(skills, ';'), 1) AS i FROM mentions) WHERE skill <> '' GROUP BY skill) ORDER BY n DESC, f LIMIT 20")
 def _(spark, sf):
-    s = view(spark, sf, "mentions").select(F.explode(text.split_list(F.col("skills"))).alias("skill"))
-    return s.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "skill").limit(20)
+    s = view(spark, sf, "mentions").select("ts", "pos", F.posexplode(text.split_list(F.col("skills"))).alias("i", "skill"))
+    return s.groupBy("skill").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "pos", "i")).alias("first")).orderBy(F.desc("n"), "first").limit(20).drop("first")
 
 
 @query("f12_x24_coerced_records", ctes("cards") + """SELECT card_id, CASE WHEN lower(mark) = 'f' THEN 'qa' WHEN price > 200000 THEN 'other-it' ELSE 'non-it' END AS direction, price > 200000 AS is_it, CASE WHEN priority = '5-LOW' THEN 'junior' ELSE 'unspecified' END AS level FROM cards""")
