@@ -52,6 +52,13 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return t.select(F.col("n").cast("long").alias("n"), F.when((F.col("n") > 0) & (pe != 1), half_even((po - pe) / (1 - pe), 4)).alias("kappa"))
 
 
+def _characters(title: Column) -> Column:
+    """The characters of a title, each with the number of its occurrence: what two titles share of them bounds any common
+    subsequence."""
+    ordered = F.array_sort(F.filter(F.split(title, ""), lambda c: c != ""))
+    return F.transform(F.array(ordered), lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("c"), (i + 1 - F.array_position(cs, c)).alias("k"))))[0]
+
+
 def match_titles(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Greedy 1:1 matching of the titles inside one post: (key, gold_no, pred_no), null on the side without a pair.
 
@@ -64,10 +71,15 @@ def match_titles(gold: DataFrame, pred: DataFrame) -> DataFrame:
     equal = cut_lineage(ranked[0].join(ranked[1], ["key", "title_norm", "_k"]).select("key", "gold_no", "pred_no"))
     g = ranked[0].join(equal, ["key", "gold_no"], "left_anti").select("key", "gold_no", F.col("title_norm").alias("a"))
     p = ranked[1].join(equal, ["key", "pred_no"], "left_anti").select("key", "pred_no", F.col("title_norm").alias("b"))
-    la, lb = F.length("a"), F.length("b")
-    pairs = g.join(p, "key").where(2.0 * F.least(la, lb) >= MATCH_RATIO * (la + lb))     # more alike they cannot be
-    scored = pairs.select("a", "b").distinct().withColumn("r", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("r") >= MATCH_RATIO)
-    left = cut_lineage(pairs.join(scored, ["a", "b"]).select("key", "gold_no", "pred_no", "r"))
+    # each two titles of a post are looked at once, however many rows have them; similarity is at most what the lengths and
+    # then the characters allow, and only pairs within both bounds reach the Python part
+    titles = [d.select("key", c).distinct().select("key", c, _characters(F.col(c)).alias(f"_{c}")) for d, c in ((g, "a"), (p, "b"))]
+    both = F.length("a") + F.length("b")
+    enough = lambda shared: 2.0 * shared >= MATCH_RATIO * both - 1e-9
+    near = titles[0].join(titles[1], "key").where(enough(F.least(F.length("a"), F.length("b")))).where(enough(F.size(F.array_intersect("_a", "_b"))))
+    near = cut_lineage(near.select("key", "a", "b"))
+    scored = near.select("a", "b").distinct().withColumn("r", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("r") >= MATCH_RATIO)
+    left = cut_lineage(g.join(near.join(scored, ["a", "b"]), ["key", "a"]).join(p, ["key", "b"]).select("key", "gold_no", "pred_no", "r"))
     chosen = equal
     while not left.isEmpty():
         rank = F.struct("r", "gold_no", "pred_no")

@@ -218,3 +218,30 @@ def test_streaks_over_many_files(spark):
 def test_white_space_of_any_kind_is_stripped(spark):
     row = spark.createDataFrame([(" SQL\t; Excel \n;\r\n; a b ",)], "s string").select(text.split_list(F.col("s")).alias("x"), text.yes_no(F.lit("так ")).alias("y")).first()
     assert row.x == ["SQL", "Excel", "a b"] and row.y is True
+
+
+def test_character_bound_of_title_similarity(spark):
+    import difflib
+    import random
+    rnd = random.Random(11)
+    made = ["".join(rnd.choice("abcé 😀") for _ in range(rnd.randrange(0, 14))) for _ in range(120)]
+    pairs = [(a, b, difflib.SequenceMatcher(None, a, b).ratio()) for a in made for b in rnd.sample(made, 20)]
+    shared = F.size(F.array_intersect(evaluate._characters(F.col("a")), evaluate._characters(F.col("b"))))
+    d = spark.createDataFrame(pairs, "a string, b string, r double").withColumn("most", 2.0 * shared).withColumn("n", F.length("a") + F.length("b"))
+    assert d.where("n > 0 and r > most / n + 1e-9").count() == 0
+    assert d.where("n > 0 and most / n < 0.6").count() > 200    # so it rules pairs out
+
+
+def test_one_post_with_many_titles(spark):
+    import difflib
+    import random
+    rnd = random.Random(12)
+    words = ["data", "analyst", "qa", "engineer", "junior", "senior", "web", "designer", "sales", "lead"]
+    sides = [[("one", i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 4)))) for i in range(150)] for _ in range(2)]
+    got = evaluate.match_titles(*[spark.createDataFrame(s, "key string, no long, title_norm string") for s in sides]).collect()
+    used_g, used_p, want = set(), set(), []
+    for ratio, i, j in sorted(((difflib.SequenceMatcher(None, a[2], b[2]).ratio(), a[1], b[1]) for a in sides[0] for b in sides[1]), reverse=True):
+        if ratio >= 0.6 and i not in used_g and j not in used_p:
+            used_g.add(i), used_p.add(j), want.append((i, j))
+    assert sorted((r["gold_no"], r["pred_no"]) for r in got if r["gold_no"] is not None and r["pred_no"] is not None) == sorted(want)
+    assert len(got) == len(want) + (150 - len(used_g)) + (150 - len(used_p))
