@@ -180,3 +180,17 @@ def test_site_postings_of_rows_without_title_or_company(spark):
     got = board.unique_postings(d, F.col("n"), 10).collect()
     assert [(r["url"], r["rows"], r["status"]) for r in got] == [("x/1", 3, "shown")]
     assert board.unique_postings(d.limit(0), F.col("n"), 10).count() == 0
+
+
+def test_postings_follow_from_one_dealing_by_identity(spark):
+    """Facts, modes and skills need no join and no table in between; mentions already imputed give the same postings."""
+    rows = [mention(0, "QA", 0, "Acme", skills="SQL; Python", link="u"), mention(1, "QA", 3, "Acme", "b", skills="Python", direction="dev"), mention(2, "QA", 4, None, skills=None),
+            mention(3, "Dev", 0, None, level="unspecified", skills="Go; Go"), mention(4, "Dev", 40, "Beta", skills="", salary_stated=True)]
+    d = frame(spark, rows)
+    plan = dedup.unique_postings(d, impute=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    u = dedup.unique_postings(dedup.impute_company(d)).orderBy("title", "first_seen").collect()
+    assert u == dedup.unique_postings(d).orderBy("title", "first_seen").collect()
+    assert [(r["title"], r["mentions"], r["direction"], r["level"], r["skills"], r["first_seen"], r["last_seen"], r["channels"]) for r in u] == [
+        ("Dev", 1, "analytics", "unspecified", ["Go"], "2026-08-01", "2026-08-01", ["a"]), ("Dev", 1, "analytics", "junior", [], "2026-09-10", "2026-09-10", ["a"]),
+        ("QA", 3, "analytics", "junior", ["Python", "SQL"], "2026-08-01", "2026-08-05", ["a", "b"])]
