@@ -258,9 +258,9 @@ def _(spark, sf):
 @query("f22_x25_company_names", ctes("shown_log") + r"SELECT DISTINCT part_id, supp_id, 'Supplier#' || lpad(CAST(supp_id AS STRING), 9, '0') AS company FROM shown_log")
 def _(spark, sf):
     s = view(spark, sf, "shown_log").select("part_id", "supp_id").distinct()
-    name = F.concat(F.lit("CV_Data-Analyst_"), F.format_string("Supplier#%09d", F.col("supp_id")), F.lit("_v2.1_2026.pdf"))
-    return mail.company_names(s.select("part_id", "supp_id", F.struct("part_id", "supp_id").alias("k"), name.alias("name"), F.lit("application/pdf").alias("mime"))
-                              .select("name", "mime", "k")).join(s.select(name.alias("name"), "part_id", "supp_id"), "name").select("part_id", "supp_id", "company").distinct()
+    files = s.withColumn("name", F.concat(F.lit("CV_Data-Analyst_"), F.format_string("Supplier#%09d", F.col("supp_id")), F.lit("_v2.1_2026.pdf"))).withColumn("mime", F.lit("application/pdf"))
+    # a company is told from the name alone, so each name is read once
+    return files.join(mail.company_names(files.select("name", "mime").distinct()), "name").select("part_id", "supp_id", "company")
 
 
 # ---- mails --------------------------------------------------------------------------------------------------

@@ -38,6 +38,16 @@ def test_urls(spark):
     assert col(spark, ["HTTPS://www.A.example/p/?q=1#f"], urls.url_key) == ["a.example/p"] and col(spark, ["https://a.example/p?q=1#f"], urls.norm_url) == ["a.example/p?q=1"]
 
 
+def test_company_of_a_file_name_is_read_once(spark, tmp_path, monkeypatch):
+    from jobstrata.plans import registry
+    spark.range(600).selectExpr("id AS l_orderkey", "id % 60 AS l_partkey", "id % 2 AS l_suppkey", "2 AS l_linenumber", "timestamp_ntz'2026-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(60).selectExpr("id AS p_partkey", "'bolt' AS p_name").write.parquet(f"{tmp_path}/part.parquet")
+    seen, whole = [], mail.company_names
+    monkeypatch.setattr(mail, "company_names", lambda files, *a: (seen.append(files.count()), whole(files, *a))[1])
+    got = registry.queries()["f22_x25_company_names"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((p, p % 2, f"Supplier#{p % 2:09d}") for p in range(60)) and seen == [2]
+
+
 def test_text_keys(spark):
     assert col(spark, ["Senior Data Analyst (SQL, BI)", "Стажер-аналітик C++/C#", "  QA  Lead "], text.norm_title) == ["data analyst", "аналітик c++ c#", "qa"]
     assert col(spark, ["ТОВ «Щука» ", "Acme, LLC", "Sp. z o.o."], text.company_key) == ["shchuka", "acme", "zoo"]
