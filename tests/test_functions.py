@@ -38,6 +38,35 @@ def test_urls(spark):
     assert col(spark, ["HTTPS://www.A.example/p/?q=1#f"], urls.url_key) == ["a.example/p"] and col(spark, ["https://a.example/p?q=1#f"], urls.norm_url) == ["a.example/p?q=1"]
 
 
+def test_a_url_is_normalised_once(spark):
+    """Identity and posting id read the bare url several times; it is worked out once a row."""
+    urls_of = spark.createDataFrame([("HTTP://www.A.B.example/x/vacancy7?id=9",), ("https://x.example/p?b=1&id=4#id=5",), ("localhost/jobs/3/",), ("https://a.example/vacancy/x\nvacancy12",), ("x.example/about/#top",), ("#",), ("",), (None,)], "u string")
+    for f in (urls.identity, urls.posting_id):
+        assert urls_of.select(f(F.col("u")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("https?://") == 1
+    got = [tuple(r) for r in urls_of.select(urls.identity(F.col("u")).alias("a"), urls.posting_id(F.col("u")).alias("b")).collect()]
+    assert got == [("b.example:7",) * 2, ("x.example:4",) * 2, ("localhost:3",) * 2, ("a.example:12",) * 2, ("u:x.example/about", None), ("u:", None), (None, None), (None, None)]
+
+
+def test_notes_are_cut_once_per_company(spark, monkeypatch):
+    """Rows of the table that say the same of a company are one text for the search in notes; the first row decides."""
+    seen, whole = [], known.contained
+    monkeypatch.setattr(known, "contained", lambda needles, haystacks, *a: (seen.append(haystacks.count()), whole(needles, haystacks, *a))[1])
+    applied = spark.createDataFrame([(i, f"https://b.example/jobs?id={i}", "Acme", f"s{i}", "red ring, bolt") for i in range(5, 25)] + [(30, "https://b.example/jobs?id=30", "Other", "z", "red ring, bolt")], "row_no long, url string, company string, status string, notes string")
+    cards = spark.createDataFrame([(1, None, "Bolt", "acme"), (2, None, "nut", "ACME"), (3, None, "red ring", "other")], "card_id long, url string, title string, company string")
+    got = {r["card_id"]: (r["verdict"], r["status"]) for r in known.application_check(cards, applied).collect()}
+    assert got == {1: ("дубль", "s5"), 2: ("прапорець", "s5"), 3: ("дубль", "z")} and seen == [2]
+
+
+def test_log_with_and_without_identities(spark):
+    """Entries under other labels and keys change nothing; the identities of a log are taken as they are when it carries them."""
+    log = spark.createDataFrame([("2026-10-01", "https://a.example/vacancy1", "Dev — Acme"), ("2026-10-05", "https://a.example/vacancy2", "dev —  acme"), ("2026-10-09", "https://a.example/vacancy3", "QA — Acme"), (None, None, None), ("2026-10-02", "", "Dev — Acme")], "shown_date string, identifier string, label string")
+    cards = spark.createDataFrame([(1, "https://a.example/vacancy2", "Dev", "Acme"), (2, None, "dev", "acme"), (3, "https://a.example/vacancy9", "PM", None)], "card_id long, url string, title string, company string")
+    for given in (log, known.with_ids(log)):
+        assert {r["card_id"]: str(r["repost_date"]) for r in known.repost_dates(cards, given).collect()} == {1: "2026-10-02", 2: "2026-10-05"}
+        assert sorted(r["card_id"] for r in known.shown_duplicates(cards, given).collect()) == [1, 2]
+        assert {r["card_id"]: r["known"] for r in known.prefilter_known(cards, given, None).collect()} == {1: "дубль", 2: None, 3: None}
+
+
 def test_company_of_a_file_name_is_read_once(spark, tmp_path, monkeypatch):
     from jobstrata.plans import registry
     spark.range(600).selectExpr("id AS l_orderkey", "id % 60 AS l_partkey", "id % 2 AS l_suppkey", "2 AS l_linenumber", "timestamp_ntz'2026-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
