@@ -194,3 +194,29 @@ def test_postings_follow_from_one_dealing_by_identity(spark):
     assert [(r["title"], r["mentions"], r["direction"], r["level"], r["skills"], r["first_seen"], r["last_seen"], r["channels"]) for r in u] == [
         ("Dev", 1, "analytics", "unspecified", ["Go"], "2026-08-01", "2026-08-01", ["a"]), ("Dev", 1, "analytics", "junior", [], "2026-09-10", "2026-09-10", ["a"]),
         ("QA", 3, "analytics", "junior", ["Python", "SQL"], "2026-08-01", "2026-08-05", ["a", "b"])]
+
+
+def test_postings_of_some_columns_carry_only_these(spark):
+    """Asked for some columns, postings have the values they have anyway, and nothing else travels; also where times and positions repeat."""
+    rnd = random.Random(3)
+    rows = [mention(n // 3, rnd.choice(["QA (a)", "qa", "Dev"]), rnd.randrange(60), rnd.choice([None, "Acme", "Beta"]), rnd.choice("abc"), level=rnd.choice(["junior", "lead", None]),
+                    direction=rnd.choice(["qa", "dev"]), is_it=rnd.random() < .6, work_format=rnd.choice(["remote", "office"]), link=rnd.choice([None, "u", "v"])) for n in range(60)]
+    d = frame(spark, rows + rows[:9])
+    key = ["_title", "_company", "_extra", "cluster_start"]
+    whole = dedup.unique_postings(d, 9, 4, skills=False).orderBy(*key).collect()
+    for columns in (("first_seen", "level"), ("title", "direction", "is_it"), ("channels", "first_channel"), ("company_source", "mentions"), ("link", "last_seen", "company")):
+        got = dedup.unique_postings(d, 9, 4, skills=False, columns=columns)
+        assert set(got.columns) == {*columns, "ord", *key}
+        assert [[r[c] for c in got.columns] for r in got.orderBy(*key).collect()] == [[r[c] for c in got.columns] for r in whole]
+        assert set(dedup.mention_columns(columns)) >= {"pos", "work_format"}
+    plan = dedup.unique_postings(d, skills=False, columns=("first_seen", "level"))._jdf.queryExecution().optimizedPlan().toString()
+    read = [line for line in plan.split("\n") if "Aggregate [_title" in line]
+    assert read and not any(c in line for line in read for c in ("channel", "link", "salary", "direction", "votes_title"))
+    assert dedup.mention_columns(("level",)) == ["level", "work_format", "pos"]
+
+
+def test_rows_that_are_dealt_out_carry_the_first_mention_once(spark):
+    """Votes name the first mention, so a row of a posting has its time, position and title once."""
+    plan = dedup.unique_postings(frame(spark, [mention(0, "QA", 0, "Acme")]), skills=False)._jdf.queryExecution().optimizedPlan()
+    last = next(line for line in plan.toString().split("\n") if "collect_list(_votes" in line)
+    assert "_first#" not in last and "_group_pos" in last
