@@ -65,3 +65,25 @@ def test_rows_of_one_id_lose_lines_of_their_own(spark, documents):
     assert report == [(1, 1, []), (2, 1, []), (2, 1, [0]), (2, 2, [1])]
     left = sorted((r.doc_id, r.text) for r in L.without_repeated_lines(documents(rows)).collect())
     assert left == [(1, line), (2, other), (2, other)]
+
+
+def test_lines_that_repeat_word_for_word_are_not_dealt_out(spark, documents, monkeypatch):
+    """Copies go before postings are made, whose sets are made once, and a report moves no text."""
+    kept = {}
+
+    class Recorded(L.Stages):
+        def keep(self, df, name="stage"):
+            out = super().keep(df, name)
+            kept.setdefault(name, []).append((out.count(), df._jdf.queryExecution().optimizedPlan().toString()))
+            return out
+
+    monkeypatch.setattr(L, "Stages", Recorded)
+    line, near = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven"
+    report = L.line_report(documents([(i, line) for i in range(6)] + [(6, "quite another line"), (7, "LINE   without\tmany words"), (8, "line without many words")]))
+    assert sorted((r.doc_id, r.removed) for r in report.collect()) == [(0, [])] + [(i, [0]) for i in range(1, 6)] + [(6, []), (7, []), (8, [0])]
+    (rows, plan), = kept["met"]
+    assert rows == 0 and plan.count("array_distinct(") == 1
+    assert not any(n > 0 for n, _ in kept["sets"])
+    kept.clear()
+    assert sorted(r.doc_id for r in L.line_report(documents([(1, line), (2, line), (3, near), (4, near)])).collect() if r.removed) == [2, 3, 4]
+    assert {n for n, _ in kept["lines"]} == {4, 2}  # those with words; those of a shared shingle
