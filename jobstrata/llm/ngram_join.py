@@ -13,7 +13,8 @@ order, which decides only how much work there is, is the same for every document
 Sets under one key are first compared with one of them, the leader, and those linked to it form a component. Pairs are
 compared only if they share a key and are not yet connected, and signatures of parity bits do not show too many
 unshared tokens, so a large group of near copies costs about one comparison
-for each member and leader instead of one for each pair. Three exact bounds come before a comparison of whole sets: the
+for each member and leader instead of one for each pair. Of the keys that two sets share, those behind one that both have among
+their first ones do not bring them together again. Three exact bounds come before a comparison of whole sets: the
 sizes; the tokens that stand before the key where a pair meets first, which it cannot share; and the heads, the of smallest hashes, where an unlike pair already has more unshared tokens than a similar one may have at all."""
 from __future__ import annotations
 
@@ -36,6 +37,7 @@ SALTS = 16
 SIGNATURE = 8     # words of 64 parity bits
 LEADER_ROUNDS = 2
 LARGE_KEY = 1000
+FIRST_KEYS = 8    # keys of a set by which a pair is known to have met before
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -281,11 +283,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, similarity:
         g.compare(g.pairs(large.join(led, "key").where("root <> leader_root"), "leader", "node"))
         rest = g.open_keys(rest.drop("root", "size"))
     signed = members.where("node is not null").groupBy("node").agg(*[F.first(f"s{i}").alias(f"s{i}") for i in range(SIGNATURE)])
-    rest = rest.join(signed, "node")
-    other = rest.select("key", *[F.col(f"s{i}").alias(f"t{i}") for i in range(SIGNATURE)], *[F.col(c).alias(c.replace("node", "other")) for c in ("node", "node_n", "node_r")], F.col("root").alias("other_root"))
+    rest = rest.join(signed, "node").join(rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("node_r", "key"))), 1, FIRST_KEYS)["key"].alias("first")), "node")
+    other = rest.select("key", F.col("first").alias("other_first"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SIGNATURE)], *[F.col(c).alias(c.replace("node", "other")) for c in ("node", "node_n", "node_r")], F.col("root").alias("other_root"))
     unlike = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SIGNATURE)), F.lit(0))
     near = F.col("node_n") + F.col("other_n") - unlike >= 2 * least_shared(F.col("node_n"), F.col("other_n"), num, den)
-    g.compare(g.pairs(rest.join(other, "key").where(F.expr("root <> other_root and node < other") & near), "node", "other"))
+    # the earliest of the first keys that both have, in the order of the smaller node; a similar pair passes there or before
+    met = F.get(F.array_intersect("first", "other_first"), F.lit(0))
+    once = met.isNull() | F.array_position("first", F.col("key")).between(1, F.array_position("first", met))
+    g.compare(g.pairs(rest.join(other, "key").where(F.expr("root <> other_root and node < other") & near & once), "node", "other"))
 
     return members.select("id", "key", "node", "n").join(g.roots, "node", "left").select("id", "key", "n", F.coalesce("component", "node").alias("root"))
 

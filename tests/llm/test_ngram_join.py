@@ -120,3 +120,22 @@ def test_links_through_a_text_without_an_id(spark, documents):
     rows = [(1, " ".join(a)), (None, " ".join(b)), (2, " ".join(c)), (None, "nothing like the others at all here")]
     got = sorted(((r.doc_id, r.component_id) for r in N.near_documents(documents(rows)).collect()), key=repr)
     assert got == [(1, 1), (2, 1), (None, 1), (None, None)]
+
+
+def test_pairs_that_share_many_keys_meet_once(spark, documents, monkeypatch):
+    """Long texts with a common half: each two share hundreds of keys, and parity bits of so many tokens tell nothing."""
+    rnd = random.Random(8)
+    parts = [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(8)) for _ in range(400)]
+    docs = [(i, " ".join(p for p in parts if rnd.random() < .7)) for i in range(10)]
+    rows_of, pairs = [], N._Graph.pairs
+
+    def counted(self, rows, x, y):
+        if y == "other":
+            rows_of.append((rows.count(), rows.select(x, y).distinct().count()))
+        return pairs(self, rows, x, y)
+
+    monkeypatch.setattr(N._Graph, "pairs", counted)
+    got = N.near_documents(documents(docs)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(i, len(shingles(t)), i) for i, t in docs]
+    (rows, distinct), = rows_of
+    assert distinct == 45 and rows <= 2 * distinct
