@@ -220,3 +220,35 @@ def test_rows_that_are_dealt_out_carry_the_first_mention_once(spark):
     plan = dedup.unique_postings(frame(spark, [mention(0, "QA", 0, "Acme")]), skills=False)._jdf.queryExecution().optimizedPlan()
     last = next(line for line in plan.toString().split("\n") if "collect_list(_votes" in line)
     assert "_first#" not in last and "_group_pos" in last
+
+
+def test_skills_are_ranked_inside_the_row(spark):
+    """No row is made for each skill: the ranks equal counting mention by mention, also for skills named twice and for ties."""
+    rnd = random.Random(21)
+    skills = ["SQL", "sql", "Git", "Excel", "Go", "Дані"]
+    rows = [mention(n, rnd.choice(["qa", "dev", "pm", "none"]), rnd.randrange(3), "Acme", channel=rnd.choice(["a", "b"]), level=rnd.choice(["junior", "middle"])) for n in range(120)]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    rows = [dict(zip(names, r)) for r in rows]
+    for r in rows:
+        r["skills"] = None if r["title"] == "none" else rnd.choice(["", "; ", "; ".join(rnd.choice(skills) for _ in range(rnd.randrange(1, 5)))])
+    made = dedup.unique_postings(frame(spark, [tuple(r[c] for c in names) for r in rows]), skills=True, columns=("title",))
+    want = {}
+    for title in {r["title"] for r in rows}:
+        count, first = {}, {}
+        for r in sorted((r for r in rows if r["title"] == title), key=lambda r: (r["ts"], r["n"])):
+            for i, s in enumerate(x.strip() for x in (r["skills"] or "").split(";") if x.strip()):
+                count[s] = count.get(s, 0) + 1
+                first.setdefault(s, (r["ts"], r["n"], i))
+        want[title] = sorted(count, key=lambda s: (-count[s], first[s], s))
+    assert {r["title"]: r["skills"] for r in made.collect()} == want and want["none"] == [] and max(map(len, want.values())) == 6
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spelling_writes_only_what_is_asked_for(spark):
+    from unittest import mock
+    d = dedup.unique_postings(frame(spark, [mention(0, "QA", 0, "A", skills="git; SQL"), mention(1, "Dev", 0, "B", skills="Git; sql; Git")]))
+    written, write = [], dedup.cut_lineage
+    with mock.patch.object(dedup, "cut_lineage", side_effect=lambda df, *n: (written.append(set(df.columns)), write(df, *n))[1]):
+        got = dedup.normalize_skills(d, columns=("title", "skills"))
+    assert got.columns == ["title", "skills"] and {tuple(sorted(r["skills"])) for r in got.collect()} == {("SQL", "git")}
+    assert not any({"_title", "channels", "link"} & c for c in written)
