@@ -54,9 +54,9 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def _characters(title: Column) -> Column:
     """The characters of a title, each with the number of its occurrence: what two titles share of them bounds any common
-    subsequence."""
+    subsequence. A character and its number are one long, so that sets of them are compared by hash."""
     ordered = F.array_sort(F.filter(F.split(title, ""), lambda c: c != ""))
-    return F.transform(F.array(ordered), lambda cs: F.transform(cs, lambda c, i: F.struct(c.alias("c"), (i + 1 - F.array_position(cs, c)).alias("k"))))[0]
+    return F.transform(F.array(ordered), lambda cs: F.transform(cs, lambda c, i: F.ascii(c).cast("long") * (1 << 32) + (i + 1 - F.array_position(cs, c))))[0]
 
 
 def match_titles(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -66,7 +66,8 @@ def match_titles(gold: DataFrame, pred: DataFrame) -> DataFrame:
     Equal titles (similarity 1) are paired by rank. Of the rest, the pairs that are the best of both their titles are
     exactly those a greedy pass takes next; they are removed and the rest is looked at again until none is left. No post
     is ever gathered in one place."""
-    ranked = [running_position(d.withColumn("_pos", -F.col("no")), ["key", "title_norm"], "_pos", 1_000, "_k").select("key", "title_norm", "_k", F.col("no").alias(n))
+    gold, pred = (cut_lineage(d.select("key", "no", "title_norm")) for d in (gold, pred))      # read several times, as are the ranks
+    ranked = [cut_lineage(running_position(d.withColumn("_pos", -F.col("no")), ["key", "title_norm"], "_pos", 1_000, "_k").select("key", "title_norm", "_k", F.col("no").alias(n)))
               for d, n in ((gold, "gold_no"), (pred, "pred_no"))]
     equal = cut_lineage(ranked[0].join(ranked[1], ["key", "title_norm", "_k"]).select("key", "gold_no", "pred_no"))
     g = ranked[0].join(equal, ["key", "gold_no"], "left_anti").select("key", "gold_no", F.col("title_norm").alias("a"))

@@ -284,3 +284,20 @@ def test_one_post_with_many_titles(spark):
             used_g.add(i), used_p.add(j), want.append((i, j))
     assert sorted((r["gold_no"], r["pred_no"]) for r in got if r["gold_no"] is not None and r["pred_no"] is not None) == sorted(want)
     assert len(got) == len(want) + (150 - len(used_g)) + (150 - len(used_p))
+
+
+def test_title_matching_makes_its_input_once(spark):
+    """Titles are normalised once however often they are read, and compared as sets of numbers."""
+    from jobstrata.operators import evaluate
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(title):
+        made.add(1)
+        return title
+    once = F.udf(seen, "string")
+    side = lambda rows: spark.createDataFrame(rows, "key string, no long, t string").select("key", "no", once("t").alias("title_norm"))
+    gold, pred = side([("p", 1, "qa engineer"), ("p", 2, "data analyst"), ("q", 1, "дані"), (None, 4, "x")]), side([("p", 1, "data analysts"), ("p", 2, "qa engineer"), ("q", 7, "aaa")])
+    got = sorted(evaluate.match_titles(gold, pred).collect(), key=str)
+    assert {tuple(r) for r in got} == {("p", 1, 2), ("p", 2, 1), ("q", 1, None), ("q", None, 7), (None, 4, None)} and made.value == 7
+    kinds = spark.createDataFrame([("abca",)], "t string").select(evaluate._characters(F.col("t")).alias("c"))
+    assert dict(kinds.dtypes)["c"] == "array<bigint>" and len(set(kinds.first()["c"])) == 4
